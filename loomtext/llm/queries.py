@@ -6,12 +6,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.bpe import token_ids
+from loomtext.llm.canonical import canonical_texts, look_alike_pairs
 from loomtext.llm.packing import pack
+from loomtext.llm.pieces import pieces
+from loomtext.llm.sentences import sentences
 from loomtext.plans.registry import Registry
 from loomtext.sources.tables import table
 
 LLM = Registry()
 
+#: The longest text of one synthesis request, and what each piece repeats of the piece before.
+REQUEST, REPEATED = 1000, 100
+
+
+@LLM.add("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entries of a book, and of chunks of a session, that look the same but are different strings."""
+    entries = table(spark, folder, "entries").select(
+        F.lit("entries").alias("tab"), F.col("book_id").alias("scope"), F.col("entry_id").alias("id"), "text"
+    )
+    chunks = table(spark, folder, "host_trace").select(
+        F.lit("host_trace").alias("tab"), F.col("session_id").alias("scope"), F.col("chunk_id").alias("id"), "text"
+    )
+    return look_alike_pairs(entries.unionByName(chunks), ["tab", "scope"], "id", "text").select("tab", "id_a", "id_b")
+
+
+@LLM.add("p1_texts")
+def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every entry and chunk in the consistent form."""
+    entries = table(spark, folder, "entries").select(F.lit("entries").alias("tab"), F.col("entry_id").alias("id"), "text")
+    chunks = table(spark, folder, "host_trace").select(F.lit("host_trace").alias("tab"), F.col("chunk_id").alias("id"), "text")
+    return canonical_texts(entries.unionByName(chunks), "text", "canonical").select("tab", "id", "canonical")
+
+
+@LLM.add("p5_pieces")
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of at most 1,000 characters of every longer entry."""
+    return pieces(table(spark, folder, "entries"), "entry_id", ["chapter"], limit=REQUEST, overlap=REPEATED)
+
+
+@LLM.add(
+    "p5_found",
+    r"""
+    SELECT entry_id, CASE WHEN list_max(list_transform(string_split_regex(text, '[\s\pZ\pP]'), lambda r: length(r))) > 1000
+      THEN 'hard' ELSE 'soft' END AS cut
+    FROM entries WHERE length(text) > 1000
+    """,
+)
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries that are cut, and whether one holds a stretch without a natural boundary that no piece can hold."""
+    cut = p5_pieces(spark, folder)
+    # Any stretch longer than the limit is cut inside, since no piece may hold it; the exact length is then checked on the cut entries.
+    hard = cut.groupBy("entry_id").agg(F.max("hard").alias("hard"))
+    entries = table(spark, folder, "entries").select("entry_id", "text").where(F.char_length("text") > REQUEST)
+    stretch = rf"[^\s\x{{85}}\p{{Z}}\p{{P}}]{{{REQUEST + 1}}}"
+    return (
+        hard.join(entries, "entry_id")
+        .select("entry_id", F.when(F.col("hard") & F.col("text").rlike(stretch), "hard").otherwise("soft").alias("cut"))
+        .distinct()
+    )
+
+
+@LLM.add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every entry with its place."""
+    return sentences(table(spark, folder, "entries"))
+
 
 @LLM.add("p7_ids")
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
