@@ -9,6 +9,7 @@ from loomtext.llm.bpe import token_ids
 from loomtext.llm.canonical import canonical_texts, look_alike_pairs
 from loomtext.llm.packing import pack
 from loomtext.llm.pieces import pieces
+from loomtext.llm.pii import personal_information
 from loomtext.llm.sentences import sentences
 from loomtext.plans.registry import Registry
 from loomtext.sources.tables import table
@@ -97,3 +98,16 @@ def p8_lengths(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("capacity")
         .agg(F.count("*").alias("containers"), F.sum("parts").alias("parts"), F.sum(F.col("room").cast("bigint")).alias("room"))
     )
+
+
+@LLM.add("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each item of personal information in the documents with its place."""
+    found = personal_information(table(spark, folder, "documents"))
+    return found.select("doc_id", F.inline("items"))
+
+
+@LLM.add("p9_texts")
+def p9_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal information replaced by placeholders."""
+    return personal_information(table(spark, folder, "documents")).select("doc_id", "redacted")
