@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.bpe import token_ids
 from loomtext.llm.canonical import canonical_texts, look_alike_pairs
+from loomtext.llm.entities import linked_records, record_pairs
 from loomtext.llm.packing import pack
 from loomtext.llm.pieces import pieces
 from loomtext.llm.pii import personal_information
@@ -40,6 +41,18 @@ def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_texts(entries.unionByName(chunks), "text", "canonical").select("tab", "id", "canonical")
 
 
+@LLM.add("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records of a book that stand for the same person or organisation."""
+    return record_pairs(linked_records(table(spark, folder, "manifest_characters")))
+
+
+@LLM.add("p2_clusters")
+def p2_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster of every record that has a name."""
+    return linked_records(table(spark, folder, "manifest_characters"))
+
+
 @LLM.add("p5_pieces")
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of at most 1,000 characters of every longer entry."""
