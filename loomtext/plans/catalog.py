@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from loomtext.plans.feeds import FEEDS
 from loomtext.plans.registry import Registry
+from loomtext.plans.textual import TEXTUAL
 
 CATALOG = Registry()
-for part in (FEEDS,):
+for part in (FEEDS, TEXTUAL):
     CATALOG.queries.update(part.queries)
     CATALOG.sql.update(part.sql)
