@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import let
+
 # Titles, verbs of speech, and words that are no names or that announce someone spoken to.
 TITLES = "Mr Mrs Ms Miss Dr Prof St Sir Lady Lord Captain Capt Colonel Col Major Aunt Uncle Father Mother".split()
 VERBS = """said|says|say|asked|asks|replied|replies|answered|answers|cried|cries|shouted|whispered|whispers|murmured|muttered|mutters|exclaimed
@@ -34,15 +36,16 @@ _LEFT, _RIGHT = "\x01", "\x02"
 
 def clean(raw: Column) -> Column:
     """A matched name without trailing words that are none; null if nothing or a bare title is left."""
-    words = F.split(F.trim(raw), r"\s+")
 
     def dropped(w: Column) -> Column:
         return F.when((F.size(w) > 1) & F.element_at(w, -1).isin(NOT_NAMES), F.slice(w, 1, F.size(w) - 1)).otherwise(w)
 
-    kept = dropped(dropped(words))
-    titled = F.regexp_replace(kept[0], r"\.+$", "").isin(TITLES)
-    alone = F.size(kept) == 1
-    return F.when(alone & (titled | kept[0].isin(NOT_NAMES)), None).otherwise(F.array_join(kept, " "))
+    def kept(w: Column) -> Column:
+        titled = F.regexp_replace(w[0], r"\.+$", "").isin(TITLES)
+        return F.when((F.size(w) == 1) & (titled | w[0].isin(NOT_NAMES)), None).otherwise(F.array_join(w, " "))
+
+    # A name has three words at most, so two steps drop all that can be dropped.
+    return let(let(let(F.split(F.trim(raw), r"\s+"), dropped), dropped), kept)
 
 
 def _end(before: Column) -> Column:
@@ -51,35 +54,42 @@ def _end(before: Column) -> Column:
 
 def tag_name(before: Column, after: Column) -> Column:
     """The name of a speech tag next to a quotation; the first of the four patterns that matches decides, even for null."""
-    trimmed = _end(before)
-    out = F.lit(None).cast("string")
-    for text, pattern, group in reversed(
-        [(after, AFTER_VERB_NAME, 2), (after, AFTER_NAME_VERB, 1), (trimmed, BEFORE_NAME_VERB, 1), (trimmed, BEFORE_VERB_NAME, 2)]
-    ):
-        out = F.when(text.rlike(pattern), clean(F.regexp_extract(text, pattern, group))).otherwise(out)
-    return out
+
+    def first(trimmed: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for text, pattern, group in reversed(
+            [(after, AFTER_VERB_NAME, 2), (after, AFTER_NAME_VERB, 1), (trimmed, BEFORE_NAME_VERB, 1), (trimmed, BEFORE_VERB_NAME, 2)]
+        ):
+            out = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group)).otherwise(out)
+        return out
+
+    return let(let(_end(before), first), lambda name: F.when(name.isNotNull(), clean(name)))
 
 
 def tag_pronoun(before: Column, after: Column) -> Column:
     """``he`` or ``she`` of a speech tag next to a quotation."""
-    trimmed = _end(before)
-    return (
-        F.when(after.rlike(AFTER_PRONOUN), F.lower(F.regexp_extract(after, AFTER_PRONOUN, 1)))
-        .when(trimmed.rlike(BEFORE_PRONOUN), F.lower(F.regexp_extract(trimmed, BEFORE_PRONOUN, 1)))
+    return let(
+        _end(before),
+        lambda trimmed: F.when(after.rlike(AFTER_PRONOUN), F.lower(F.regexp_extract(after, AFTER_PRONOUN, 1))).when(
+            trimmed.rlike(BEFORE_PRONOUN), F.lower(F.regexp_extract(trimmed, BEFORE_PRONOUN, 1))
+        ),
     )
 
 
 def names_in(sentence: Column) -> Column:
     """All names of a sentence in order, repeated ones too, but none behind a word that announces someone spoken to."""
-    parts = F.split(F.regexp_replace(sentence, f"({NAME})", f"{_LEFT}$1{_RIGHT}"), _LEFT)
 
-    def name(i: Column) -> Column:
-        ahead = F.translate(F.element_at(parts, i), _RIGHT, "")
-        last = F.regexp_replace(F.lower(F.regexp_extract(ahead, r"(\S*)\s*$", 1)), r"^[,.;:]+|[,.;:]+$", "")
-        return F.when(~last.isin(SPOKEN_TO), clean(F.split(F.element_at(parts, i + 1), _RIGHT)[0]))
+    def found(parts: Column) -> Column:
+        def name(i: Column) -> Column:
+            ahead = F.translate(F.element_at(parts, i), _RIGHT, "")
+            last = F.regexp_replace(F.lower(F.regexp_extract(ahead, r"(\S*)\s*$", 1)), r"^[,.;:]+|[,.;:]+$", "")
+            return F.when(~last.isin(SPOKEN_TO), clean(F.split(F.element_at(parts, i + 1), _RIGHT)[0]))
 
-    many = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.filter(F.transform(many, name), lambda n: n.isNotNull()), F.array().cast("array<string>"))
+        many = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(many, name), lambda n: n.isNotNull())
+
+    marked = F.split(F.regexp_replace(sentence, f"({NAME})", f"{_LEFT}$1{_RIGHT}"), _LEFT)
+    return F.coalesce(let(marked, found), F.array().cast("array<string>"))
 
 
 def without_quoted(c: Column) -> Column:
@@ -100,9 +110,10 @@ def pronoun_gender(sentence: Column) -> Column:
 
 def nearest_name(sentence: Column, names: Column, gender: Column) -> Column:
     """The last of ``names`` that begins before the sentence's first pronoun of ``gender``."""
-    mark = F.when(gender == "FEMALE", F.regexp_replace(sentence, rf"{FEMALE}[\s\S]*", "")).when(gender == "MALE", F.regexp_replace(sentence, rf"{MALE}[\s\S]*", ""))
-    ranked = F.transform(
-        names, lambda n: F.struct(F.length(F.regexp_replace(mark, F.concat(F.lit(r"(?s)^.*\Q"), n, F.lit(r"\E")), F.lit(""))).alias("rest"), n.alias("name"))
-    )
-    held = F.filter(ranked, lambda r: F.contains(mark, r["name"]))
-    return F.array_min(held)["name"]
+    ahead = F.when(gender == "FEMALE", F.regexp_replace(sentence, rf"{FEMALE}[\s\S]*", "")).when(gender == "MALE", F.regexp_replace(sentence, rf"{MALE}[\s\S]*", ""))
+
+    def nearest(mark: Column) -> Column:
+        rest = F.transform(names, lambda n: F.struct(F.length(F.regexp_replace(mark, F.concat(F.lit(r"(?s)^.*\Q"), n, F.lit(r"\E")), F.lit(""))).alias("rest"), n.alias("name")))
+        return F.array_min(F.filter(rest, lambda r: F.contains(mark, r["name"])))["name"]
+
+    return let(ahead, nearest)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +25,11 @@ HEAD_WORDS = 6
 _HELD, _CUT = "\x01", "\x02"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at the ends."""
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
@@ -76,14 +81,19 @@ def compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def openings(normal: Column, most: int = HEAD_WORDS) -> Column:
     """The openings of one to ``most`` words of a text in normal form."""
-    words = F.split(normal, " ")
-    return F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words))), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    return let(F.split(normal, " "), lambda words: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words))), lambda n: F.array_join(F.slice(words, 1, n), " ")))
 
 
 def fnv64(c: Column) -> Column:
     """The 64-bit FNV-1a hash over UTF-16 units, in two halves of 32 bits so that no product overflows."""
     low = (1 << 32) - 1
-    units = F.transform(F.sequence(F.lit(1), F.floor(F.length(F.encode(c, "UTF-16BE")) / 2).cast("int")), lambda i: F.conv(F.hex(F.substr(F.encode(c, "UTF-16BE"), (2 * i - 1).cast("int"), F.lit(2))), 16, 10).cast("bigint"))
+
+    def units(h: Column) -> Column:
+        """The UTF-16 units of a text given as hexadecimal digits, four to a unit."""
+        one = F.lit(1).cast("int")
+        places = F.when(F.length(h) > 0, F.sequence(one, (F.length(h) / 4).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.conv(F.substr(h, 4 * i - 3, F.lit(4)), 16, 10).cast("bigint"))
+
     start = F.struct(F.lit(3421674724).cast("bigint").alias("hi"), F.lit(2216829733).cast("bigint").alias("lo"))
 
     def step(state: Column, unit: Column) -> Column:
@@ -94,8 +104,11 @@ def fnv64(c: Column) -> Column:
             product.bitwiseAND(F.lit(low)).alias("lo"),
         )
 
-    done = F.aggregate(F.when(F.length(c) > 0, units).otherwise(F.array().cast("array<bigint>")), start, step)
-    return F.shiftleft(done["hi"], 32).bitwiseOR(done["lo"])
+    code = F.hex(F.encode(c, "UTF-16BE"))
+    return let(
+        let(code, lambda h: F.aggregate(units(h), start, step)),
+        lambda done: F.shiftleft(done["hi"], 32).bitwiseOR(done["lo"]),
+    )
 
 
 def is_scene_break(c: Column) -> Column:
@@ -132,8 +145,10 @@ def word_set(c: Column) -> Column:
 
 def same_by_words(a: Column, b: Column) -> Column:
     """Whether two names agree: the words of one are all among the other's."""
-    x, y = word_set(a), word_set(b)
-    return (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+    return let(
+        word_set(a),
+        lambda x: let(word_set(b), lambda y: (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))),
+    )
 
 
 def comma_chunks(c: Column) -> Column:

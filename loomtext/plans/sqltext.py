@@ -38,7 +38,8 @@ def strip(x: str) -> str:
 PARAGRAPHS = f"""
 para AS (
   SELECT * FROM (
-    SELECT book_id, arg_min(chapter, entry_id) AS chapter, seq, {strip('arg_min(text, entry_id)')} AS text
+    SELECT book_id, arg_min(chapter, entry_id) AS chapter, seq, {strip('arg_min(text, entry_id)')} AS text,
+      length(regexp_extract(arg_min(text, entry_id), '^{WHITE}*')) AS lead
     FROM entries WHERE book_id IS NOT NULL AND seq IS NOT NULL AND text IS NOT NULL GROUP BY book_id, seq)
   WHERE text <> '')"""
 
@@ -48,17 +49,18 @@ SEGMENTS = (
     PARAGRAPHS
     + f""",
 runs AS (
-  SELECT book_id, chapter, seq, text, CASE WHEN text[1] IN ('—', '―') THEN NULL ELSE regexp_extract_all(text, {_RUNS}, 1) END AS r,
+  SELECT book_id, chapter, seq, lead, text, CASE WHEN text[1] IN ('—', '―') THEN NULL ELSE regexp_extract_all(text, {_RUNS}, 1) END AS r,
     regexp_extract(text, '^([—―][^—―]*)', 1) AS speech FROM para),
 dashed AS (
-  SELECT book_id, chapter, seq, 0 AS n, 'DIALOGUE' AS kind, speech AS raw, '' AS before, text[length(speech) + 1:] AS after FROM runs WHERE r IS NULL
-  UNION ALL SELECT book_id, chapter, seq, 1, 'NARRATION', text[length(speech) + 1:], speech, '' FROM runs WHERE r IS NULL),
+  SELECT book_id, chapter, seq, lead, 0 AS n, 'DIALOGUE' AS kind, speech AS raw, '' AS before, text[length(speech) + 1:] AS after FROM runs WHERE r IS NULL
+  UNION ALL SELECT book_id, chapter, seq, lead, 1, 'NARRATION', text[length(speech) + 1:], speech, '' FROM runs WHERE r IS NULL),
 quoted AS (
-  SELECT book_id, chapter, seq, i - 1 AS n, CASE WHEN r[i][1] IN ('"', '“', '«') THEN 'DIALOGUE' ELSE 'NARRATION' END AS kind, r[i] AS raw,
+  SELECT book_id, chapter, seq, lead, i - 1 AS n, CASE WHEN r[i][1] IN ('"', '“', '«') THEN 'DIALOGUE' ELSE 'NARRATION' END AS kind, r[i] AS raw,
     array_to_string(r[1:i - 1], '') AS before, array_to_string(r[i + 1:], '') AS after
   FROM (SELECT *, unnest(generate_series(1, len(r))) AS i FROM runs WHERE r IS NOT NULL)),
 seg AS (
-  SELECT * FROM (SELECT book_id, chapter, seq, n::INT AS n, kind, {strip('raw')} AS run, before, after
+  SELECT * FROM (SELECT book_id, chapter, seq, lead, n::INT AS n, kind, {strip('raw')} AS run, before, after,
+      length(before) + length(regexp_extract(raw, '^{WHITE}*')) AS run_start
     FROM (SELECT * FROM dashed UNION ALL SELECT * FROM quoted)) WHERE run <> '')"""
 )
 
