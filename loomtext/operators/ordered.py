@@ -2,7 +2,7 @@
 
 The order column is cut into blocks. Only one row per block crosses to the next level, so no window
 partition is larger than a block or than the number of blocks of a key. The order column must be an integer;
-rows that share a place are ordered by ``then``.
+rows that share a place are ordered by ``then``. Keys must not be null where a last known value is asked for.
 """
 
 from __future__ import annotations

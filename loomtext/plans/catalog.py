@@ -5,9 +5,10 @@ from __future__ import annotations
 from loomtext.plans.cast import CAST
 from loomtext.plans.feeds import FEEDS
 from loomtext.plans.registry import Registry
+from loomtext.plans.speech import SPEECH
 from loomtext.plans.textual import TEXTUAL
 
 CATALOG = Registry()
-for part in (FEEDS, TEXTUAL, CAST):
+for part in (FEEDS, TEXTUAL, CAST, SPEECH):
     CATALOG.queries.update(part.queries)
     CATALOG.sql.update(part.sql)
