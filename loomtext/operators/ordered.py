@@ -43,6 +43,25 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: Column, t
     )
 
 
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: Column, to: str, then: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """``df`` with ``to``: the largest ``value`` of the key's rows strictly before this one; null if there is none."""
+    inside, across = _levels(keys, order, then)
+    rows = df.withColumn("_v", value).withColumn("_block", _block(order, block)).withColumn("_mark", F.lit(1))
+    carried = (
+        rows.groupBy(*keys, "_block")
+        .agg(F.max("_v").alias("_v"))
+        .withColumn("_v", F.max("_v").over(across.rowsBetween(Window.unboundedPreceding, -1)))
+        .where("_v IS NOT NULL")
+        .withColumn("_mark", F.lit(0))
+    )
+    return (
+        rows.unionByName(carried, allowMissingColumns=True)
+        .withColumn(to, F.max("_v").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+        .where("_mark = 1")
+        .drop("_v", "_block", "_mark")
+    )
+
+
 def last_known(df: DataFrame, keys: Sequence[str], order: str, value: Column, to: str, then: Sequence[str] = (), block: int = BLOCK, before: bool = True) -> DataFrame:
     """``df`` with ``to``: the last non-null ``value`` of the key's rows strictly before this one, or with ``before=False`` up to and with it."""
     inside, across = _levels(keys, order, then)
