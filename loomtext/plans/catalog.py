@@ -6,10 +6,11 @@ from loomtext.plans.cast import CAST
 from loomtext.plans.feeds import FEEDS
 from loomtext.plans.library import LIBRARY
 from loomtext.plans.registry import Registry
+from loomtext.plans.sound import SOUND
 from loomtext.plans.speech import SPEECH
 from loomtext.plans.textual import TEXTUAL
 
 CATALOG = Registry()
-for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY):
+for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY, SOUND):
     CATALOG.queries.update(part.queries)
     CATALOG.sql.update(part.sql)
