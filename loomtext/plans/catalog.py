@@ -8,9 +8,10 @@ from loomtext.plans.library import LIBRARY
 from loomtext.plans.registry import Registry
 from loomtext.plans.sound import SOUND
 from loomtext.plans.speech import SPEECH
+from loomtext.plans.streams import STREAMS
 from loomtext.plans.textual import TEXTUAL
 
 CATALOG = Registry()
-for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY, SOUND):
+for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY, SOUND, STREAMS):
     CATALOG.queries.update(part.queries)
     CATALOG.sql.update(part.sql)
