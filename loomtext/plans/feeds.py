@@ -88,7 +88,7 @@ def p3_bad_cells(spark: SparkSession, folder: str) -> DataFrame:
 @FEEDS.add(
     "p4_found",
     """
-    WITH s AS (SELECT book_id, seq, span_start, span_end FROM spans WHERE span_start < span_end),
+    WITH s AS (SELECT DISTINCT book_id, seq, span_start, span_end FROM spans WHERE span_start < span_end),
     m AS (SELECT *, max(span_end) OVER (PARTITION BY book_id, seq ORDER BY span_start, span_end
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
     g AS (SELECT *, sum(CASE WHEN reach IS NULL OR span_start > reach THEN 1 ELSE 0 END)
