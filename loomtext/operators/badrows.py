@@ -13,6 +13,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.session import spread
+
 #: A line break inside a field would end the row for the CSV reader; these noncharacters of Unicode,
 #: reserved for internal use, stand for it while the reader runs.
 _BREAKS = str.maketrans({"\n": "﷐", "\r": "﷑"})
@@ -178,7 +180,7 @@ def parse_lines(lines: DataFrame, layout: Layout, key: str = "line_id", raw: str
             )
 
     return (
-        lines.select(F.col(key).alias("k"), F.col(raw).cast("string").alias("raw"))
+        spread(lines.select(F.col(key).alias("k"), F.col(raw).cast("string").alias("raw")))
         .mapInArrow(run, f"k {key_type}, reason string, bad array<string>, cells array<string>")
         .withColumnRenamed("k", key)
     )

@@ -44,7 +44,7 @@ STATEMENTS: list[tuple[str, str, str | None]] = [
     ("rel_case_in_between", "SELECT CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal BETWEEN 0 AND 5000 THEN 'some' ELSE 'rich' END AS band, count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') GROUP BY 1", None),
     ("rel_lateral", "SELECT c_custkey, o.total FROM customer, LATERAL (SELECT round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey = c_custkey) o", None),
     ("rel_recursive", "WITH RECURSIVE t(n, v) AS (SELECT 1, 1L UNION ALL SELECT n + 1, v * 2 FROM t WHERE n < 20) SELECT n, v FROM t", "WITH RECURSIVE t(n, v) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, v * 2 FROM t WHERE n < 20) SELECT n, v FROM t"),
-    ("rel_median_percentile", "SELECT l_returnflag, median(l_quantity) AS mid, percentile(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY 1", "SELECT l_returnflag, median(l_quantity) AS mid, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY 1"),
+    ("rel_median_percentile", "SELECT l_returnflag, median(l_quantity) AS mid, round(percentile(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1", "SELECT l_returnflag, median(l_quantity) AS mid, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY 1"),
     ("rel_multi_join", """SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""", None),
     ("rel_range_join", "SELECT a.event_id, count(b.event_id) AS later FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR GROUP BY a.event_id", None),

@@ -15,6 +15,7 @@ def get_spark(app: str = "loomtext", cores: str = "*", **conf: str) -> SparkSess
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -41,3 +42,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="loomtext-checkpoint-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    For costly work on rows of a table that comes in fewer pieces than that, such as one file of one
+    row group; a table in enough pieces is not touched.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

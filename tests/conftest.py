@@ -10,4 +10,4 @@ from loomtext.session import get_spark  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return get_spark("loomtext-tests", cores="4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    return get_spark("loomtext-tests", cores="4", **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g"})
