@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.session import spread
+
 #: Characters whose words are held at once, and words whose ids a worker remembers. Both bound
 #: memory alone; the result does not depend on them.
 SLICE_CHARS = 2_000_000
@@ -183,7 +185,7 @@ def token_ids(
                     value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), value], names=["k", "v"])
 
-    out = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(
+    out = spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))).mapInArrow(
         run, f"k {key_type}, v int" if count_only else f"k {key_type}, v array<int>"
     )
     return out.select(F.col("k").alias(key), F.col("v").alias("n_tokens" if count_only else "ids"))

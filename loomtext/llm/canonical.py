@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from loomtext.session import checkpointed
+from loomtext.session import checkpointed, spread
 
 # Letters of other scripts with the Latin letter of the same printed shape.
 LOOK_ALIKE = {
@@ -99,7 +99,7 @@ def canonical_texts(df: DataFrame, text: str = "text", to: str = "canonical", fo
             form = per_distinct(batch.column(at).cast(pa.string()), lambda t: canonical(t, fold_case), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, form], names=[*batch.schema.names, to])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def look_alike_pairs(texts: DataFrame, group: list[str], key: str, text: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.sentences import sentence_spans
+from loomtext.session import spread
 
 #: Boundaries from the strongest to the weakest: a cut may fall where a match ends.
 _PARAGRAPH = regex.compile(r"\n[^\S\n]*\n\s*|\p{Zp}+\s*")
@@ -123,7 +124,7 @@ def pieces(items: DataFrame, key: str, carry: list[str], text: str = "text", lim
                 )
 
     key_type = items.schema[key].dataType.simpleString()
-    out = source.mapInArrow(run, f"k {key_type}, {kinds}piece int, piece_start int, piece_end int, hard boolean, piece_text string")
+    out = spread(source).mapInArrow(run, f"k {key_type}, {kinds}piece int, piece_start int, piece_end int, hard boolean, piece_text string")
     return out.select(
         F.col("k").alias(key), *[F.col(n).alias(c) for c, n in zip(carry, kept)], "piece", "piece_start", "piece_end", "hard", "piece_text"
     )

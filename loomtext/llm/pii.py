@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.canonical import canonical
+from loomtext.session import spread
 
 #: A proposed span becomes an item at this score.
 ENOUGH = 0.5
@@ -301,7 +302,7 @@ def personal_information(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     names = F.col(cast) if cast else F.lit(None).cast("array<string>")
     return (
-        docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), names.alias("c"))
+        spread(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), names.alias("c")))
         .mapInArrow(run, f"k {key_type}, redacted string, items array<struct<pii_type: string, char_start: int, char_end: int>>")
         .withColumnRenamed("k", key)
     )

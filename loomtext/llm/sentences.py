@@ -10,7 +10,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.llm.canonical import LOOK_ALIKE, canonical
+from loomtext.llm.canonical import canonical
+from loomtext.session import spread
 
 # Abbreviations whose period does not end a sentence before a name.
 BEFORE_NAME = """
@@ -56,8 +57,6 @@ SAYING = {
     "Thai": "ถาม พูด กล่าว ตอบ ตะโกน บอก".split(),
 }
 
-_ALIKE = {ord(k): v for k, v in LOOK_ALIKE.items()}
-
 
 def _shape(words: list[str]) -> frozenset[str]:
     return frozenset(canonical(w, fold_case=True) for w in words)
@@ -267,8 +266,7 @@ def sentences(entries: DataFrame, key: str = "entry_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), found.take(coded.indices)], names=["k", "s"])
 
     return (
-        entries.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-        .where("t IS NOT NULL")
+        spread(entries.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL"))
         .mapInArrow(run, f"k {key_type}, s array<struct<a: int, b: int>>")
         .select(F.col("k").alias(key), F.inline("s"))
         .withColumnsRenamed({"a": "sent_start", "b": "sent_end"})
