@@ -114,15 +114,18 @@ _TOWN_WORD = r"\p{Lu}[\p{L}\p{M}’']*(?:-[\p{L}\p{M}’']+)*"
 _TOWN = rf"(?:{_TOWN_WORD}[^\S\n]+){{0,2}}{_TOWN_WORD}(?:[^\S\n]+(?:am|an der|ob der|im|in der|bei|sur|sous|les|lès|de la|de las|de los|del|de|upon|on|under)[^\S\n]+{_TOWN_WORD})?"
 _ONE_TOWN = rf"(?:(?:Port|Saint|St\.?|San|Santa|New|Old|Great|Little|North|South|East|West|Upper|Lower|Bad|Fort|Mount|Lake|Puerto|Villa|La|Le|Les|El|Los|Las|Groß|Klein|Alt|Neu)[^\S\n]+)?{_TOWN_WORD}(?:[^\S\n]+(?:Harbour|Harbor|Creek|Bay|Hill|Falls|Springs|Green|Heath|Park|City|Town|Cross|Bridge|Ferry|Head|Point|Valley|Wells|Common|Regis))?(?:[^\S\n]+(?:am|an der|ob der|im|in der|bei|sur|sous|les|lès|de la|de las|de los|del|de|upon|on|under)[^\S\n]+{_TOWN_WORD})?"
 _SEP = r"(?:\s*,\s*|\s*\n\s*|\s+[–—-]\s+|[^\S\n]+)"
-_EN_STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Row|Terrace|Ter|Avenue|Ave|Close|Court|Ct|Drive|Dr|Way|Walk|Square|Sq|Place|Pl|Hill|Crescent|Cres|Gardens|Gdns|Grove|Mews|Parade|Quay|Boulevard|Blvd|Alley|Yard|Wharf|Rise|View|Circle|Highway|Hwy)\.?"
+_EN_STREET = (
+    r"(?:(?:Street|Road|Lane|Row|Terrace|Avenue|Close|Court|Drive|Way|Walk|Square|Place|Hill|Crescent|Gardens|Grove|Mews|Parade|Quay|Boulevard|Alley|Yard|Wharf|Rise|View|Circle|Highway)(?!\p{L})"
+    r"|(?:St|Rd|Ln|Ter|Ave|Ct|Dr|Sq|Pl|Cres|Gdns|Blvd|Hwy)(?!\p{L})\.?)"
+)
 _FLAT = r"(?:(?i:flat|apt\.?|apartment|unit|suite|room|floor|fl\.)\s*#?[\p{L}\d]{1,4}|\d{1,2}\.?[ºª°o](?:\s?[A-Z]\b)?|(?i:bâtiment|bât\.?|appt\.?|porte|wohnung|whg\.?|piso|puerta|кв\.?)\s*[\p{L}\d]{1,4})"
 _CODE = r"(?:[A-Z]{1,2}-)?\d{4,6}(?:-\d{4})?"
 _EN_CODE = r"(?:[A-Z]{2}\s+\d{5}(?:-\d{4})?|[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}|\d{5}(?:-\d{4})?)"
 _ADDRESSES = [
     regex.compile(p)
     for p in (
-        rf"(?<![\p{{L}}\d.,/-])\d{{1,5}}[a-zA-Z]?,?\s+(?:(?:St\.|{_TOWN_WORD})\s+){{1,4}}{_EN_STREET}(?:{_SEP}{_FLAT})?{_SEP}{_ONE_TOWN}(?:{_SEP}{_EN_CODE})?(?![\p{{L}}\d])",
-        rf"(?<![\p{{L}}\d])(?:P\.?\s?O\.?\s?Box|Post Office Box)\s+\d+{_SEP}{_ONE_TOWN}(?:{_SEP}{_EN_CODE})?(?![\p{{L}}\d])",
+        rf"(?<![\p{{L}}\d.,/-])\d{{1,5}}[a-zA-Z]?,?\s+(?:(?:St\.|{_TOWN_WORD})\s+){{1,4}}?{_EN_STREET}(?:(?P<flat>{_SEP}{_FLAT})?\s*,\s*{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE})?|(?:{_SEP}{_FLAT})?\s+{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE}))(?![\p{{L}}\d])",
+        rf"(?<![\p{{L}}\d])(?:P\.?\s?O\.?\s?Box|Post Office Box)\s+\d+(?:\s*,\s*{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE})?|\s+{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE}))(?![\p{{L}}\d])",
         rf"(?<![\p{{L}}\d])(?:Postfach|BP|B\.P\.|Boîte postale|Apartado(?: de Correos)?|Apdo\.?|Casella postale|а/я)\s+\d[\d ]*{_SEP}{_CODE}\s+{_TOWN}(?![\p{{L}}\d])",
         rf"(?<![\p{{L}}\d])(?:(?:{_TOWN_WORD}[ -]){{0,3}}[\p{{L}}’-]*(?:[sS]traße|[sS]trasse|[sS]tr\.|[wW]eg|[gG]asse|[sS]tieg|[aA]llee|[pP]latz|[uU]fer|[rR]ing|[dD]amm|[hH]of|[sS]teig|[mM]arkt|[pP]fad|[cC]haussee|[gG]raben|[bB]erg|[wW]all|[tT]or)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)\s{_TOWN_WORD})\s+\d{{1,4}}\s?[a-z]?(?:{_SEP}{_FLAT})?{_SEP}{_CODE}\s+{_TOWN}(?![\p{{L}}\d])",
         rf"(?<![\p{{L}}\d.,/-])\d{{1,4}}(?:\s?(?:bis|ter|quater|[A-Z]))?,?\s+(?i:rue|avenue|av\.|quai|impasse|chemin|place|allée|allées|boulevard|bd|cours|route|passage|ruelle|square|sentier|faubourg|voie|montée|cité|villa)\s+[\p{{L}}\p{{M}}’' -]{{1,60}}?(?:{_SEP}{_FLAT})?{_SEP}{_CODE}\s+{_TOWN}(?![\p{{L}}\d])",
@@ -154,6 +157,9 @@ def _tokens(name: str) -> frozenset[str]:
     return frozenset(w for w in words if w not in ("sr", "sr.", "jr", "jr.", "senior", "junior"))
 
 
+_DWELLS = regex.compile(r"(?i)\b(?:live[sd]?|living|address|reside[sd]?|ship|send|deliver|mail|post|moved|at home|habite|wohne|wohnt|vivo|adresse|dirección|адрес|живу)\b[^.!?\n]*\Z")
+
+
 def _emails(text: str) -> list[Item]:
     return [Item("email", m.start(), m.end(), 1.0) for m in _EMAIL.finditer(text)]
 
@@ -162,8 +168,12 @@ def _addresses(text: str) -> list[Item]:
     out = []
     for pattern in _ADDRESSES:
         for m in pattern.finditer(text):
-            end = m.end()
-            out.append(Item("address", m.start(), end, 0.9))
+            sure = 0.9
+            if "code" in pattern.groupindex and not m["code"]:
+                # A street and a town alone may be anything; a flat, a box or words of dwelling make it an address.
+                boxed = "flat" not in pattern.groupindex or m["flat"]
+                sure = 0.7 if boxed or _DWELLS.search(text, max(0, m.start() - 40), m.start()) else 0.3
+            out.append(Item("address", m.start(), m.end(), sure))
     return out
 
 
@@ -237,6 +247,9 @@ def _names(text: str, cast: list[str] | None, others: list[Item]) -> list[Item]:
     return out
 
 
+#: Wide spaces, full-width signs and hyphens as the plain ones, one for one, so that places hold.
+_LEVEL = {c: ord(" ") for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {0x2010: ord("-"), 0x2011: ord("-")}
+
 _ORDER = {"email": 0, "address": 1, "identity": 2, "phone": 3, "name": 4}
 
 
@@ -244,6 +257,7 @@ def find_items(text: str | None, cast: list[str] | None = None) -> list[Item]:
     """The items of a text in order, none overlapping: ``email``, ``phone``, ``identity``, ``address``, ``name``."""
     if not text:
         return []
+    text = text.translate(_LEVEL)
     strong: list[Item] = []
     numbers: list[Item] = []
     if "@" in text or "＠" in text or regex.search(r"(?i)\bat\b|arroba|ät", text):

@@ -11,6 +11,8 @@ CASES = [
     ("连络：请写信到priya_zar@gana.test。", [("email", "priya_zar@gana.test")]),
     ("See @quire and #chapter53, price 12.56, at dusk.", []),
     ("Call +44 (0)7700 900 823, (212) 555-0155 or 06.39.98.14.93.", [("phone", "+44 (0)7700 900 823"), ("phone", "(212) 555-0155"), ("phone", "06.39.98.14.93")]),
+    ("Ring +34\u00a0600\u00a0000\u00a0147 or 01632\u00a0960703.", [("phone", "+34\u00a0600\u00a0000\u00a0147"), ("phone", "01632\u00a0960703")]),
+    ("He lives at 12 Salt Street. The girl left; 12 Salt Street, Louisa said.", []),
     ("Tel. 0049/221/4710145", [("phone", "0049/221/4710145")]),
     ("It came at 20:43:32.368 from uid 10287. Edition 2024-05-20, 209 pages, 114–386. Build 4.11.50 took 155,024.", []),
     ("ID 666-98-9778, phone 030 23125 062.", [("identity", "666-98-9778"), ("phone", "030 23125 062")]),
