@@ -6,14 +6,16 @@ import heapq
 import json
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.llm.people import Firm, Person, firm_likeness, full_forms, given_likeness, grams, parse, word_likeness
-from loomtext.session import checkpointed
+from loomtext.session import checkpointed, spread
 
 #: The cosine from which two records are compared name by name.
 COSINE = 0.25
@@ -58,7 +60,7 @@ def profile(display: str | None, aliases: list[str] | None, gender: str | None)
 
 def likeness(a: str, b: str) -> float:
     """How likely two profiles are one person or organisation."""
-    x, y = json.loads(a), json.loads(b)
+    x, y = _read(a), _read(b)
     if x[0] != y[0]:
         return 0.0
     if x[0] == "firm":
@@ -85,6 +87,25 @@ def likeness(a: str, b: str) -> float:
     return best
 
 
+def _cosines(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
+    """The cosine of each pair of unit vectors given as lists of ``gram`` and ``w``."""
+    keys, weights = [], []
+    codes = pa.concat_arrays([left.flatten().field("gram"), right.flatten().field("gram")]).dictionary_encode()
+    code = codes.indices.to_numpy().astype(np.int64)
+    split = len(left.flatten())
+    for side, part in ((left, code[:split]), (right, code[split:])):
+        row = np.repeat(np.arange(len(side)), np.diff(side.offsets.to_numpy()))
+        keys.append(row * len(codes.dictionary) + part)
+        weights.append(side.flatten().field("w").to_numpy())
+    shared, i, j = np.intersect1d(keys[0], keys[1], assume_unique=True, return_indices=True)
+    return np.bincount(shared // max(1, len(codes.dictionary)), weights=weights[0][i] * weights[1][j], minlength=len(left))
+
+
+@lru_cache(maxsize=50_000)
+def _read(text: str) -> list:
+    return json.loads(text)
+
+
 def average_linkage(edges: list[tuple[str, str, float]], least: float) -> dict[str, str]:
     """Clusters by average linkage, where pairs without an edge count as 0: each node's cluster, named by its least node."""
     size = {n: 1 for e in edges for n in e[:2]}
@@ -169,20 +190,18 @@ def linked_records(records: DataFrame, scope: str = "book_id", key: str = "rec_i
             )
 
     read_records = (
-        records.select(F.col(scope).alias("s"), F.col(key).alias("r"), F.col(name).cast("string").alias("d"), F.col(aliases).alias("al"), told.alias("ge"))
-        .where("s IS NOT NULL AND r IS NOT NULL")
+        spread(records.select(F.col(scope).alias("s"), F.col(key).alias("r"), F.col(name).cast("string").alias("d"), F.col(aliases).alias("al"), told.alias("ge")).where("s IS NOT NULL AND r IS NOT NULL"))
         .mapInArrow(read, f"s {scope_type}, r {key_type}, profile string, grams array<string>, whole boolean")
         .withColumn("node", F.md5(F.concat_ws("\x1f", F.col("s").cast("string"), "profile")))
     )
     members = checkpointed(read_records.dropDuplicates(["s", "r", "node"]))
     nodes = members.dropDuplicates(["node"]).select("s", "node", "profile", "grams", "whole")
     counted = nodes.select("node", F.explode("grams").alias("gram")).groupBy("node", "gram").agg(F.count("*").alias("tf"))
-    spread = counted.groupBy("gram").agg(F.count("*").alias("df"))
-    size = nodes.agg(F.count("*").alias("n"))
+    frequency = counted.groupBy("gram").agg(F.count("*").alias("df"))
+    n_nodes = nodes.count()
     weighed = (
-        counted.join(spread, "gram")
-        .crossJoin(F.broadcast(size))  # one row
-        .select("node", "gram", "df", ((1 + F.log("tf")) * F.log(1 + F.col("n") / F.col("df"))).alias("w"))
+        counted.join(frequency, "gram")
+        .select("node", "gram", "df", ((1 + F.log("tf")) * F.log(1 + n_nodes / F.col("df"))).alias("w"))
     )
     vectors = (
         weighed.groupBy("node")
@@ -192,14 +211,22 @@ def linked_records(records: DataFrame, scope: str = "book_id", key: str = "rec_i
     )
     vectors = checkpointed(vectors)
     # From the rarest gram on, as many as it takes until the rest alone can no longer reach the cosine.
-    squares = F.transform("v", lambda x: x["w"] * x["w"])
-    rarest = vectors.select(
-        "s",
-        "node",
-        F.posexplode("v").alias("i", "x"),
-        squares.alias("sq"),
-    ).select("s", "node", "x.gram", (1 - F.when(F.col("i") > 0, F.aggregate(F.slice("sq", 1, F.col("i")), F.lit(0.0), lambda t, y: t + y)).otherwise(0.0)).alias("rest"))
-    rarest = rarest.where(F.col("rest") >= COSINE * COSINE - 1e-9).select("s", "node", "gram")
+    scope_kind = vectors.schema["s"].dataType.simpleString()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            offsets, weights = lists.offsets.to_numpy(), lists.values.field("w").to_numpy()
+            grams, rows, kept = lists.values.field("gram"), [], []
+            for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
+                before = np.concatenate(([0.0], np.cumsum(weights[a:b] ** 2)[:-1]))
+                n = int(np.count_nonzero(1 - before >= COSINE * COSINE - 1e-9))
+                rows += [i] * n
+                kept += range(a, a + n)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), grams.take(pa.array(kept, pa.int64()))], names=["s", "node", "gram"])
+
+    rarest = vectors.select("s", "node", "v").mapInArrow(rare, f"s {scope_kind}, node string, gram string")
     meet = (
         rarest.withColumnRenamed("node", "a")
         .join(rarest.withColumnRenamed("node", "b"), ["s", "gram"])
@@ -212,13 +239,11 @@ def linked_records(records: DataFrame, scope: str = "book_id", key: str = "rec_i
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pydict()
+            near = np.flatnonzero(_cosines(batch.column("va"), batch.column("vb")) >= COSINE - 1e-12)
+            pairs = zip(near.tolist(), batch.column("pa").take(pa.array(near)).to_pylist(), batch.column("pb").take(pa.array(near)).to_pylist())
             keep, scores = [], []
-            for i, (va, vb) in enumerate(zip(rows["va"], rows["vb"])):
-                other = {x["gram"]: x["w"] for x in vb}
-                if sum(x["w"] * other.get(x["gram"], 0.0) for x in va) < COSINE:
-                    continue
-                score = likeness(rows["pa"][i], rows["pb"][i])
+            for i, one, other in pairs:
+                score = likeness(one, other)
                 if score >= ATTACH:
                     keep.append(i)
                     scores.append(score)

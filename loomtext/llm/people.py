@@ -208,6 +208,7 @@ def typos(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+@lru_cache(maxsize=200_000)
 def word_likeness(a: str, b: str) -> float:
     """How likely two words are spellings of one name: 1 if equal, less for each typo, 0 beyond what their length allows."""
     if a == b:
@@ -230,6 +231,7 @@ def shortened(short: str, long: str) -> bool:
     return short[-1] == long[-1] and all(c in rest for c in short)
 
 
+@lru_cache(maxsize=200_000)
 def given_likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
