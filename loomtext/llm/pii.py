@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -46,6 +47,10 @@ _FORWARD = rf"(?:{_PART}|{_INITIAL})(?:{_S}{_INITIAL}){{0,3}}(?:{_S}{_PARTICLE}(
 _BACKWARD = rf"(?:{_PARTICLE}{_S}){{0,3}}{_PART},{_S}(?:{_PART}|{_INITIAL})(?:{_S}{_INITIAL}){{0,3}}(?:{_S}{_PARTICLE}(?![\p{{L}}.])){{0,3}}(?![\p{{L}}])"
 _NAME = rf"(?P<name>{_FORWARD}|{_BACKWARD})"
 
+#: Signs without which a text holds no address of mail.
+_MAILED = regex.compile(r"@|(?i:[\[({]\s*(?:at|ät|arroba)\b|\bat\b[^\n.]{1,80}?\bdot\b)")
+_DIGIT = regex.compile(r"\d")
+
 _EDGE = r"(?<![\p{Latin}\p{N}_])"
 _LOCAL = rf"{_EDGE}[\p{{Latin}}\p{{N}}](?:[\p{{Latin}}\p{{N}}._%+'’-]*[\p{{Latin}}\p{{N}}_+-])?"
 _LABEL = r"[\p{Latin}\p{N}](?:[\p{Latin}\p{N}-]*[\p{Latin}\p{N}])?"
@@ -105,7 +110,7 @@ _IDENTITIES = [
     (regex.compile(r"[CFGHJKLMNPRTVWXYZ][CFGHJKLMNPRTVWXYZ\d]{7}\d"), _seven_three_one, 0.2),
     (regex.compile(r"\d{9}"), _luhn, 0.1),
 ]
-_IDENTITY_TOKEN = regex.compile("|".join(rf"(?<![\p{{Latin}}\d+])(?<!\d[.,:/-])(?:{p.pattern})(?![\p{{Latin}}\d])(?![.,:/-]\d)" for p, _, _ in _IDENTITIES))
+_IDENTITY_TOKEN = regex.compile(rf"(?<![\p{{Latin}}\d+])(?=[A-Z\d])(?<!\d[.,:/-])(?:{'|'.join(p.pattern for p, _, _ in _IDENTITIES)})(?![\p{{Latin}}\d])(?![.,:/-]\d)")
 _IDENTITY_CUE = regex.compile(
     rf"(?i)(?<![\p{{L}}])(?:{CUES['identity']})(?![\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}])[^\d\n.;!?]{{0,30}}(?:(?i:nos?|nrs?|num)\.[^\d\n]{{0,6}})?(?:[;:：][^\d\n.!?]{{0,14}})?\s?(?-i:(?P<value>[A-Z]{{0,3}}\d[A-Z\d]*(?:[ -][A-Z\d]+)*))"
 )
@@ -121,8 +126,10 @@ _EN_STREET = (
 _FLAT = r"(?:(?i:flat|apt\.?|apartment|unit|suite|room|floor|fl\.)\s*#?[\p{L}\d]{1,4}|\d{1,2}\.?[ºª°o](?:\s?[A-Z]\b)?|(?i:bâtiment|bât\.?|appt\.?|porte|wohnung|whg\.?|piso|puerta|кв\.?)\s*[\p{L}\d]{1,4})"
 _CODE = r"(?:[A-Z]{1,2}-)?\d{4,6}(?:-\d{4})?"
 _EN_CODE = r"(?:[A-Z]{2}\s+\d{5}(?:-\d{4})?|[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}|\d{5}(?:-\d{4})?)"
+#: Where a word of the continental street types stands before a number; their patterns begin with any word, so this is looked for first.
+_GERMAN = regex.compile(r"(?:(?i:straße|strasse|str\.|weg|gasse|stieg|allee|platz|ufer|ring|damm|hof|steig|markt|pfad|chaussee|graben|berg|wall|tor)|(?:Am|An der|Auf der|Im|In der|Zum|Zur)\s\p{Lu}[\p{L}’'-]+)\s+\d{1,4}\s?[a-z]?[\s,]")
 _ADDRESSES = [
-    regex.compile(p)
+    (regex.compile(p), _GERMAN if "Straße" in p or "traße" in p else None)
     for p in (
         rf"(?<![\p{{L}}\d.,/-])\d{{1,5}}[a-zA-Z]?,?\s+(?:(?:St\.|{_TOWN_WORD})\s+){{1,4}}?{_EN_STREET}(?:(?P<flat>{_SEP}{_FLAT})?\s*,\s*{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE})?|(?:{_SEP}{_FLAT})?\s+{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE}))(?![\p{{L}}\d])",
         rf"(?<![\p{{L}}\d])(?:P\.?\s?O\.?\s?Box|Post Office Box)\s+\d+(?:\s*,\s*{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE})?|\s+{_ONE_TOWN}(?P<code>{_SEP}{_EN_CODE}))(?![\p{{L}}\d])",
@@ -148,12 +155,17 @@ class Item:
     score: float
 
 
+_NUMBER_WORDS = regex.compile(r"(?:[A-Z\d]+(?:[ -](?=[A-Z]?\d|[A-Z]\b))?)+")
 _PHONE_NEAR = regex.compile(rf"(?i)(?<![\p{{L}}])(?:{CUES['phone']})(?![\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}])[^\n!?]{{0,12}}\Z")
 _IDENTITY_NEAR = regex.compile(rf"(?i)(?<![\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}])(?:{CUES['identity']})(?![\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}])[^\n!?]{{0,26}}\Z")
 
 
+_NAME_WORD = regex.compile(r"[\p{L}\p{M}’'-]+\.?")
+
+
+@lru_cache(maxsize=50_000)
 def _tokens(name: str) -> frozenset[str]:
-    words = regex.findall(r"[\p{L}\p{M}’'-]+\.?", canonical(name, fold_case=True))
+    words = _NAME_WORD.findall(canonical(name, fold_case=True))
     return frozenset(w for w in words if w not in ("sr", "sr.", "jr", "jr.", "senior", "junior"))
 
 
@@ -166,7 +178,9 @@ def _emails(text: str) -> list[Item]:
 
 def _addresses(text: str) -> list[Item]:
     out = []
-    for pattern in _ADDRESSES:
+    for pattern, sign in _ADDRESSES:
+        if sign is not None and not sign.search(text):
+            continue
         for m in pattern.finditer(text):
             sure = 0.9
             if "code" in pattern.groupindex and not m["code"]:
@@ -181,7 +195,7 @@ def _identities(text: str) -> list[Item]:
     out = []
     for m in _IDENTITY_TOKEN.finditer(text):
         value = m.group()
-        bare = regex.sub(r"[ -]", "", value)
+        bare = value.replace(" ", "").replace("-", "")
         score = 0.0
         for shape, check, base in _IDENTITIES:
             if shape.fullmatch(value):
@@ -192,9 +206,9 @@ def _identities(text: str) -> list[Item]:
         out.append(Item("identity", m.start(), m.end(), score))
     for m in _IDENTITY_CUE.finditer(text):
         a, b = m.span("value")
-        value = regex.match(r"(?:[A-Z\d]+(?:[ -](?=[A-Z]?\d|[A-Z]\b))?)+", text, pos=a, endpos=b)
+        value = _NUMBER_WORDS.match(text, a, b)
         b = value.end() if value else b
-        bare = regex.sub(r"[ -]", "", text[a:b])
+        bare = text[a:b].replace(" ", "").replace("-", "")
         if 6 <= len(bare) <= 18 and sum(c.isdigit() for c in bare) >= 5 and not text[b : b + 1].isalnum():
             out.append(Item("identity", a, b, 0.55))
     return out
@@ -236,8 +250,12 @@ def _names(text: str, cast: list[str] | None, others: list[Item]) -> list[Item]:
             break
     # A name given with a cue counts wherever else the text repeats it.
     for name in {text[a:b] for (a, b), s in found.items() if s >= ENOUGH}:
-        for m in regex.finditer(rf"(?<![\p{{L}}\p{{M}}]){regex.escape(name)}(?![\p{{L}}\p{{M}}])", text):
-            propose(m.span(), 0.55)
+        at = text.find(name)
+        while at >= 0:
+            end = at + len(name)
+            if not text[max(0, at - 1) : at].isalpha() and not text[end : end + 1].isalpha():
+                propose((at, end), 0.55)
+            at = text.find(name, end)
     out = []
     for (a, b), score in found.items():
         tokens = _tokens(text[a:b])
@@ -260,9 +278,9 @@ def find_items(text: str | None, cast: list[str] | None = None) -> list[Item]:
     text = text.translate(_LEVEL)
     strong: list[Item] = []
     numbers: list[Item] = []
-    if "@" in text or "＠" in text or regex.search(r"(?i)\bat\b|arroba|ät", text):
+    if _MAILED.search(text):
         strong += _emails(text)
-    if regex.search(r"\d", text):
+    if _DIGIT.search(text):
         strong += _addresses(text)
         numbers = _identities(text) + _phones(text)
     proposals = strong + numbers
