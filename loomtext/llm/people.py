@@ -42,6 +42,7 @@ TITLES = {
 GENERATION = {"sr": "sr", "senior": "sr", "snr": "sr", "jr": "jr", "junior": "jr", "jnr": "jr", "ii": "jr", "iii": "iii", "pere": "sr", "fils": "jr", "st": "sr", "ml": "jr", "starshii": "sr", "mladshii": "jr"}
 PRONOUNS = {"he": "m", "him": "m", "his": "m", "she": "f", "her": "f", "hers": "f", "they": "", "them": "", "it": "", "i": "", "me": "", "you": "", "we": "", "us": "", "who": "",
             "er": "m", "sie": "f", "es": "", "il": "m", "elle": "f", "ils": "", "elles": "", "el": "m", "ella": "f", "ellos": "", "on": "", "ona": "f", "oni": "", "narrator": "", "unknown": ""}
+AGES = set("old young little dear poor".split())
 ARTICLES = set("the a an le la les un une der die das ein eine el los las un una".split())
 FIRM = {"co": "company", "company": "company", "cie": "company", "compagnie": "company", "compania": "company", "bros": "brothers", "brothers": "brothers", "gebruder": "brothers",
         "gebr": "brothers", "freres": "brothers", "hermanos": "brothers", "hnos": "brothers", "wks": "works", "works": "works", "ltd": "limited", "limited": "limited", "inc": "incorporated",
@@ -112,6 +113,8 @@ def parse(name: str | None) -> tuple[Person | Firm | None, str]:
         text = " ".join(glued)
     plain = _plain(text)
     words = regex.findall(r"[\p{L}\p{M}\p{N}’'-]+", plain)
+    if len(words) > 2 and words[0] in AGES and words[1] in TITLES:
+        plain, words = plain.split(words[0], 1)[1].strip(), words[1:]
     if not words or not regex.search(r"\p{L}", plain):
         return None, ""
     if len(words) == 1 and words[0] in PRONOUNS:
@@ -170,7 +173,7 @@ def parse(name: str | None) -> tuple[Person | Firm | None, str]:
         one = full[0].rstrip(".")
         if initials:
             return Person(initials[0].rstrip("."), one, generation), gender
-        if titled or (generation and not full_forms(one)):
+        if (titled or generation) and not full_forms(one):
             return Person("", one, generation), gender
         return (Person(one, "", generation) if full_forms(one) else Person("", one, generation)), gender
     given = full[0].rstrip(".")

@@ -16,6 +16,8 @@ NAMES = [
     ("Mrs. Hollinshaw", Person("", "hollinshaw")),
     ("Captain Charles Kestle Sr.", Person("charles", "kestle", "sr")),
     ("Bob", Person("bob", "")),
+    ("Old Mr. Ostershaw", Person("", "ostershaw")),
+    ("Aunt Louisa", Person("louisa", "")),
     ("Екатерина Тихоствол", Person("ekaterina", "tikhostvol")),
     ("Ana de la Torre", Person("ana", "de la torre")),
     ("the stranger", None),
