@@ -13,7 +13,7 @@ GIVEN = {
     "robert": "bob bobby rob robbie bert bebert robin", "william": "bill billy will willy wm liam", "richard": "dick rick rich richie",
     "charles": "charlie chas chuck carl", "stephen": "steve steven stevie", "thaddeus": "thad tad thady", "augustus": "gus august augie",
     "geoffrey": "geoff jeffrey jeff jeffery", "jonathan": "jon johnny johnathan jonny nathan", "john": "jack johnnie",
-    "nicholas": "nick nicky nicolas nico klaus", "francis": "frank frankie", "frances": "fanny fran francie", "harriet": "hattie harriett harry",
+    "nicholas": "nick nicky nich nicolas nico klaus", "francis": "frank frankie", "frances": "fanny fran francie", "harriet": "hattie harriett harry",
     "philippa": "pip pippa phillipa", "katherine": "kate katie kathy catherine kathryn kitty katharine kit", "isabella": "bella izzy isabel isabelle",
     "margaret": "maggie peggy meg margery madge", "elizabeth": "liz lizzie beth betty eliza bess elisabeth lisa", "dorothea": "dora dot dorothia dorothy thea dolly dottie",
     "louisa": "lou luisa louise lulu", "zoe": "zo", "edward": "ed eddie ned ted", "henry": "harry hank hal", "james": "jim jimmy jamie", "joseph": "joe joey",
@@ -23,9 +23,9 @@ GIVEN = {
     "gertrud": "trude gertrude gerti traudl", "wilhelmine": "minna mina helmine wilhelmina", "johannes": "hannes hans johann jo", "sebastian": "seb bastian basti",
     "friederike": "rike fritzi frederike", "friedrich": "fritz fred frieder", "maximilian": "max maxi", "leopold": "poldi leo", "ottilie": "otti tilly",
     "kathe": "kate kaethe katharina", "jurgen": "juergen", "heinrich": "heinz heiner", "wolfgang": "wolf", "josef": "sepp jupp",
-    "marguerite": "margot", "genevieve": "ginette viviane", "hippolyte": "polyte", "theodore": "theo ted", "etienne": "tiennot", "bertrand": "bert bebert", "clemence": "clem",
+    "marguerite": "margot", "genevieve": "ginette viviane", "hippolyte": "polyte", "theodore": "theo ted", "etienne": "tiennot tienno", "bertrand": "bert bebert", "clemence": "clem",
     "josephine": "josette fifine jo josie", "anaelle": "ana nanou", "francois": "fanfan francis fanch", "francoise": "fanfan fanchon soizic", "jacques": "jacquot", "pierre": "pierrot", "louis": "loulou", "albert": "bebert al", "jose": "pepe", "francisco": "paco pancho curro", "mercedes": "merche", "concepcion": "concha conchita",
-    "dolores": "lola", "rosario": "charo", "ignacio": "nacho", "eduardo": "edu lalo", "gregorio": "goyo", "begona": "bego", "guadalupe": "lupe", "manuel": "manolo",
+    "dolores": "lola", "rosario": "charo", "ignacio": "nacho", "eduardo": "edu lalo", "gregorio": "goyo greg", "begona": "bego", "guadalupe": "lupe", "manuel": "manolo",
     "ekaterina": "katya yekaterina katerina katia", "grigorii": "grisha grigory grigoriy grigori", "nataliya": "natasha natalya natalia natalja", "pelageya": "polya pelagea pelagia",
     "dmitrii": "mitya dima dmitry dmitriy dmitri", "aleksandr": "sasha shura alexander aleksander", "mikhail": "misha", "olga": "olya", "ivan": "vanya", "mariya": "masha maria",
     "petr": "petya pyotr", "sergei": "seryozha sergey serezha", "anastasiya": "nastya anastasia", "vladimir": "volodya vova", "tatyana": "tanya tatiana", "nikolai": "kolya nikolay",
