@@ -19,6 +19,7 @@ Yes No Oh Ah Well Now Here If As At In On Of For To With From By Not Never Only
 FEMALE_TITLES = "mrs ms miss lady aunt mother".split()
 MALE_TITLES = "mr sir lord uncle father".split()
 
+# Patterns of a name, and of a speech tag or pronoun before or after a quotation.
 NAME = rf"(?:(?:{'|'.join(TITLES)})\.?\s+)?[A-Z][a-zA-Z'’-]+(?:\s+[A-Z][a-zA-Z'’-]+)?"
 AFTER_VERB_NAME = rf"^[\s,.;:!?—–-]*\b({VERBS})\s+({NAME})"
 AFTER_NAME_VERB = rf"^[\s,.;:!?—–-]*({NAME})\s+\b({VERBS})\b"

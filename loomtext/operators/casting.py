@@ -42,14 +42,15 @@ def voice_class(f0: Column) -> Column:
 
 def target_pitch(people: DataFrame, pool: DataFrame) -> DataFrame:
     """``people`` (``gender``, ``age_band``) with ``target_hz``: the median of the gender's pool, else the mean of both medians, moved by age."""
-    medians = pool.groupBy("gender").agg(F.median("f0_hz").alias("hz"))
-    known = F.broadcast(medians.where("gender IN ('MALE', 'FEMALE')").agg(F.avg("hz").alias("both"), F.max(F.when(F.col("gender") == "MALE", F.col("hz"))).alias("male"), F.max(F.when(F.col("gender") == "FEMALE", F.col("hz"))).alias("female")))
-    offset = F.lit(0.0)
+    # Two numbers, from an inventory of fixed size.
+    known = {r["gender"]: r["hz"] for r in pool.groupBy("gender").agg(F.median("f0_hz").alias("hz")).collect()}
+    middle = sum(known.values()) / len(known) if known else UNMEASURED_HZ
+    pitch, offset = F.lit(middle), F.lit(0.0)
+    for gender, hz in known.items():
+        pitch = F.when(F.col("gender") == gender, hz).otherwise(pitch)
     for age, hz in AGE_HZ.items():
         offset = F.when(F.col("age_band") == age, hz).otherwise(offset)
-    own = F.when(F.col("gender") == "MALE", F.col("male")).when(F.col("gender") == "FEMALE", F.col("female"))
-    joined = people.withColumn("_one", F.lit(1)).join(known.withColumn("_one", F.lit(1)), "_one")  # one row
-    return joined.withColumn("target_hz", F.coalesce(own, F.col("both"), F.lit(UNMEASURED_HZ)) + offset).drop("_one", "both", "male", "female")
+    return people.withColumn("target_hz", pitch + offset)
 
 
 def pace(words_per_line: Column) -> Column:

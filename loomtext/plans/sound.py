@@ -152,9 +152,10 @@ def narrator_pick(spark: SparkSession, folder: str) -> DataFrame:
 def guarded_pool(spark: SparkSession, folder: str) -> DataFrame:
     """Voices far enough from the narrator's, the middle female one; a whole pool where none is."""
     pool = C.pools(table(spark, folder, "voices"))
-    narrator = pool.where((F.col("gender") == "FEMALE") & (F.col("place") == F.floor(F.col("size") / 2))).select(F.col("f0_hz").alias("f"), F.lit(1).alias("one"))
-    far = F.abs(F.col("f0_hz") - F.col("f")) >= C.GUARD_HZ
-    marked = pool.withColumn("one", F.lit(1)).join(F.broadcast(narrator), "one").withColumn("far", far).withColumn("anyone", F.max(far).over(Window.partitionBy("gender")))
+    middle = (F.col("gender") == "FEMALE") & (F.col("place") == F.floor(F.col("size") / 2))
+    # The inventory of voices is of fixed size, so one partition holds it.
+    narrator = F.max(F.when(middle, F.col("f0_hz"))).over(Window.partitionBy(F.lit(1)))
+    marked = pool.withColumn("far", F.abs(F.col("f0_hz") - narrator) >= C.GUARD_HZ).withColumn("anyone", F.max("far").over(Window.partitionBy("gender")))
     return marked.where(F.col("far") | ~F.col("anyone")).select("gender", "speaker")
 
 

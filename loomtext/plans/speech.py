@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import leaves_quotation_open, opens_quotation
 from loomtext.operators import attribution as A
 from loomtext.operators import scoring as G
+from loomtext.operators.ordered import running_sum
 from loomtext.operators.scenes import with_scenes
 from loomtext.operators.segments import paragraphs, segments
 from loomtext.operators.turns import FLOORS, alternation, turn_taking
@@ -187,10 +188,10 @@ def attribution_tally(spark: SparkSession, folder: str) -> DataFrame:
 def bakeoff_by_book(spark: SparkSession, folder: str) -> DataFrame:
     """The same for each book, with its place by accuracy."""
     by_book = G.scored(_scored(spark, folder), ["book_id"])
-    # Books with a better accuracy are counted from the few distinct accuracies, not by one window over all books.
-    steps = by_book.groupBy("accuracy").agg(F.count("*").alias("k"))
-    better = steps.alias("a").join(F.broadcast(steps).alias("b"), F.col("b.accuracy") > F.col("a.accuracy"), "left")
-    places = better.groupBy("a.accuracy").agg((F.coalesce(F.sum("b.k"), F.lit(0)) + 1).cast("int").alias("place"))
+    # Accuracies are millionths, so the books with a better one are a running sum over at most a million steps, in blocks.
+    worse = (F.lit(1_000_000) - F.round(F.col("accuracy") * 1_000_000)).cast("int")
+    steps = by_book.groupBy("accuracy").agg(F.count("*").alias("k")).select("accuracy", "k", worse.alias("worse"), F.lit(1).alias("one"))
+    places = running_sum(steps, ["one"], "worse", F.col("k"), "upto").select("accuracy", (F.col("upto") - F.col("k") + 1).cast("int").alias("place"))
     return by_book.join(places, "accuracy")
 
 
@@ -235,8 +236,6 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
 )
 def paired_conditions(spark: SparkSession, folder: str) -> DataFrame:
     """On the quotations that both can answer: the rules against repeating the paragraph's last speaker."""
-    from pyspark.sql import Window
-
     repeat = F.lag("truth").over(Window.partitionBy("book_id", "seq").orderBy("n"))
     shared = _scored(spark, folder).withColumn("repeat", repeat).where("repeat IS NOT NULL")
     right, again = F.coalesce(F.col("answer") == F.col("truth"), F.lit(False)), F.col("repeat") == F.col("truth")

@@ -48,3 +48,10 @@ def test_runs(spark, name):
 
 def test_every_query_says_what_it_is():
     assert all(q.__doc__ for q in CATALOG.queries.values())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in CATALOG.queries if not n.startswith("stream_")))
+def test_no_product_of_rows(spark, name):
+    """No plan joins without an equal key, except to a table of fixed size."""
+    plan = CATALOG.queries[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
