@@ -9,7 +9,7 @@ CASES = [
     ("mailto:lea.tor [at] post [dot] example [dot] com now", [("email", "lea.tor [at] post [dot] example [dot] com")]),
     ("or zed_9 AT quill DOT example DOT net!", [("email", "zed_9 AT quill DOT example DOT net")]),
     ("连络：请写信到priya_zar@gana.test。", [("email", "priya_zar@gana.test")]),
-    ("See @quire and #chapter53, price 12.56, at dusk.", []),
+    ("See @reader and #chapter53, price 12.56, at dusk.", []),
     ("Call +44 (0)7700 900 823, (212) 555-0155 or 06.39.98.14.93.", [("phone", "+44 (0)7700 900 823"), ("phone", "(212) 555-0155"), ("phone", "06.39.98.14.93")]),
     ("Ring +34\u00a0600\u00a0000\u00a0147 or 01632\u00a0960703.", [("phone", "+34\u00a0600\u00a0000\u00a0147"), ("phone", "01632\u00a0960703")]),
     ("He lives at 12 Salt Street. The girl left; 12 Salt Street, Louisa said.", []),
