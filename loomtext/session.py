@@ -48,7 +48,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 
     For costly work on rows of a table that comes in fewer pieces than that, such as one file of one
-    row group; a table in enough pieces is not touched.
+    row group; a table in enough pieces, or one that a shuffle has spread already, is not touched.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
