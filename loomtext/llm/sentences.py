@@ -72,7 +72,8 @@ def _lists() -> dict[str, frozenset[str]]:
 
 _HIDDEN = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cc}--\p{White_Space}]", regex.V1)
 _BLANK_LINE = regex.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r\x85  ]*(?:\r\n|[\n\r\x85 ])\s*| \s*")
-_TERMINATORS = regex.compile(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…⋯;;]+")
+_TERMINATORS = regex.compile(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…⋯;\uff1b\u037e]+")
+_GREEK_ASKS = ";\uff1b\u037e"
 _ATERM = regex.compile(r"\p{Sentence_Break=ATerm}")
 _OPENERS = "“„«‘‚‹「『《〈(（[【—–-¿¡\"'*_»"
 _QUOTES = "”’»›」』\"'“‘«"
@@ -85,6 +86,10 @@ _TAIL = regex.compile(r"(?:[\p{L}\p{M}\p{N}º№’'-]+\.\s?)*[\p{L}\p{M}№’'
 _WORD = regex.compile(r"[\p{L}\p{M}’'-]+")
 
 
+#: A clause that leads to a quotation of its own, which begins like a sentence.
+_NEW_SPEECH = regex.compile(r"[^.!?。！？]*(?:\.[^.!?。！？“„«\"]*)?[:,]\s*[“„«\"‘]+\p{Lu}")
+
+
 def _closers(text: str, at: int, paragraph: int) -> int:
     """The place after the closing marks that follow a terminator at once, or for guillemets after one space."""
     i = at
@@ -148,6 +153,8 @@ def _goes_on(text: str, begin: int, quote: int, at: int, breaks: list[int], para
     if regex.match(r"\p{Lu}", first):
         if narrated:
             return False
+        if _NEW_SPEECH.match(text, at, min(len(text), at + 160)):
+            return False
         words = [canonical(w, fold_case=True) for w in _WORD.findall(clause)[:4]]
         return any(w in _lists()["say"] for w in words[1:])
     if narrated:
@@ -169,11 +176,10 @@ def _paragraph(text: str, start: int, stop: int, greek: bool, thai: bool) -> lis
         spaces = []
     for m in _TERMINATORS.finditer(text, start, stop):
         marks = m.group()
-        if ";" in marks or "\u037e" in marks:
-            if not greek:
-                marks = marks.replace(";", "").replace("\u037e", "")
-                if not marks:
-                    continue
+        if any(c in marks for c in _GREEK_ASKS) and not greek:
+            marks = marks.translate(dict.fromkeys(map(ord, _GREEK_ASKS)))
+            if not marks:
+                continue
         ellipsis = set(marks) <= set(".\u2026\u22ef") and marks != "."
         first, end = m.start(), m.end()
         if ellipsis and _WIDE.match(text[first - 1 : first]):

@@ -11,11 +11,12 @@ CASES = [
     ["J. R. Yarrel opened it.", "The U.S. consul kept it.", "They sold tar, oil, etc.", "The porters left."],
     ["Dr. Quill and Mrs. Thistle lived at No. 262, St. Lorren Street.", "Vol. 97, pp. 361–12, cf. the entry.", "(She left.)", "The end."],
     ["“Go on!” she said.", "Robert cried, “Stop!” and left.", "He asked Capt. Penn: “Who came?”", "No answer came."],
+    ["“Do you believe me?”", "Ann cried, “Stop!” and left.", "“Is it late?” Robert asked.", "“Who?”", "Stephen asked Capt. Lorren: “Who came?”"],
     ["Prof. Orrin fragte: „Wer kam?“", "Keine Antwort kam.", "„Komm!“, rief Käthe.", "Am 3. Tag las sie.", "Sie verkauften Hanf, Öl usw.", "Das war z. B. Gertrud."],
     ["« Venez ! » cria José.", "« Il est tard.", "Prenons tout », dit Clé.", "— Qui vint ? demanda Éti.", "M. Penn paya 66,47 écus."],
     ["—Es tarde.", "Vamos —dijo Ana.", "¿Qué?", "¡Mi hermano!", "Dña. Dun vivía en el n.º 355, allí.", "Véase la pág. 146."],
     ["«Кто забыл?» — спросил он.", "Они продавали дёготь и т. д.", "Екатерина ушла.", "И. О. Суровей жил в д. 270."],
-    ["Ποιος ήρθε;", "Ο κ. Μαρτής πλήρωσε 28,57 δραχμές.", "«Ποιος ξέχασε;» ρώτησε."],
+    ["Ποιος ήρθε；", "Τι ησυχία;", "Ποιος ήρθε;", "Ο κ. Μαρτής πλήρωσε 28,57 δραχμές.", "«Ποιος ξέχασε;» ρώτησε."],
 ]
 TIGHT = [
     ["“时候不早了。", "带上旧地图！”姑娘说。", "没有人等着……忘记了。", "老账房问：“谁来了？”", "没有人回答。"],
