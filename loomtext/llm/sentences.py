@@ -82,6 +82,8 @@ _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Hangul}]"
 _CASELESS = regex.compile(r"[\p{Lo}\p{Lm}]")
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 _THAI = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+_SPACE_RUN = regex.compile(r"[^\S\n\r]+")
+_THAI_SPACE = regex.compile(rf"(?<={_THAI.pattern}\p{{M}}*)[^\S\n\r]+(?={_THAI.pattern})")
 _TAIL = regex.compile(r"(?:[\p{L}\p{M}\p{N}º№’'-]+\.\s?)*[\p{L}\p{M}№’'-]+$")
 _WORD = regex.compile(r"[\p{L}\p{M}’'-]+")
 
@@ -167,16 +169,18 @@ def _goes_on(text: str, begin: int, quote: int, at: int, breaks: list[int], para
     return False
 
 
-def _paragraph(text: str, start: int, stop: int, greek: bool, thai: bool) -> list[tuple[int, int]]:
+def _greek(text: str) -> bool:
+    return len(regex.findall(r"\p{Greek}", text)) > len(regex.findall(r"\p{Latin}", text))
+
+
+def _paragraph(text: str, start: int, stop: int, thai: bool) -> list[tuple[int, int]]:
     """The stretches of one paragraph between its sentence boundaries."""
     breaks = [start]
-    if thai:
-        spaces = [m.end() for m in regex.finditer(r"[^\S\n\r]+", text, pos=start, endpos=stop)]
-    else:
-        spaces = []
+    spaced_out = _SPACE_RUN if thai else _THAI_SPACE
+    spaces = [m.end() for m in spaced_out.finditer(text, start, stop)]
     for m in _TERMINATORS.finditer(text, start, stop):
         marks = m.group()
-        if any(c in marks for c in _GREEK_ASKS) and not greek:
+        if any(c in marks for c in _GREEK_ASKS) and not _greek(text[max(start, m.start() - 40) : m.start()]):
             marks = marks.translate(dict.fromkeys(map(ord, _GREEK_ASKS)))
             if not marks:
                 continue
@@ -236,8 +240,6 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         return []
     seen = [i for i, c in enumerate(text) if not _HIDDEN.match(c)] if _HIDDEN.search(text) else None
     plain = text if seen is None else "".join(text[i] for i in seen)
-    latin = len(regex.findall(r"\p{Latin}", plain))
-    greek = len(regex.findall(r"\p{Greek}", plain)) > latin
     thai = 2 * len(_THAI.findall(plain)) > len(regex.findall(r"\p{L}", plain))
     out = []
     edges = [0]
@@ -245,7 +247,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         edges += [m.start(), m.end()]
     edges.append(len(plain))
     for a, b in zip(edges[::2], edges[1::2]):
-        for start, stop in _paragraph(plain, a, b, greek, thai):
+        for start, stop in _paragraph(plain, a, b, thai):
             while start < stop and plain[start].isspace():
                 start += 1
             while stop > start and plain[stop - 1].isspace():
