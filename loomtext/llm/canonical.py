@@ -23,8 +23,8 @@ LOOK_ALIKE = {
     "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ρ": "p", "α": "a", "ι": "i", "υ": "u",
-    "ϲ": "c", "ϳ": "j",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J", "ο": "o", "ν": "v", "ρ": "p", "α": "a", "ι": "i", "υ": "u",
+    "ϳ": "j",
     # Armenian
     "Օ": "O", "Ս": "U", "Տ": "S", "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g",
     # Cherokee
@@ -43,6 +43,27 @@ LOOK_ALIKE = {
 }
 
 _ALIKE = str.maketrans(LOOK_ALIKE)
+
+
+def _back(block: str) -> dict[int, str]:
+    """From the Latin letters to those of the same shape in a block of Unicode's names, the first of each."""
+    out: dict[int, str] = {}
+    for own, latin in LOOK_ALIKE.items():
+        if unicodedata.name(own).startswith(block) and latin.isalpha():
+            out.setdefault(ord(latin), own)
+    return out
+
+
+#: A word that keeps a letter of one of these scripts belongs to it, and so do its letters of Latin shape.
+_HOMES = [(regex.compile(rf"\p{{{block.title()}}}"), _back(block)) for block in ("CYRILLIC", "GREEK")]
+_LATIN_WORD = regex.compile(r"[\p{L}\p{M}]*[\p{Cyrillic}\p{Greek}][\p{L}\p{M}]*")
+
+
+def _home(word: regex.Match) -> str:
+    text = word.group()
+    found = [letters for script, letters in _HOMES if script.search(text)]
+    return text.translate(found[0]) if len(found) == 1 else text
+
 _IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cc}--\p{White_Space}]+", regex.V1)
 _SPACE = regex.compile(r"\p{White_Space}+")
 
@@ -59,8 +80,8 @@ def canonical(text: str, fold_case: bool = False, keep_raised: bool = True, alik
 
     Compatibility normalisation in composed form, default-ignorable and control characters
     removed, each stretch of white space as one space and none at the ends. ``keep_raised`` leaves
-    raised and sunk characters as they are, ``alike`` replaces letters of other scripts by the
-    Latin ones of the same shape, ``fold_case`` adds full case folding. Applying it twice changes
+    raised and sunk characters as they are, ``alike`` gives letters of one shape one script:
+    that of the letters in their word that have no twin, else Latin, ``fold_case`` adds full case folding. Applying it twice changes
     nothing.
     """
     out = _SPACE.sub(" ", text).strip()
@@ -69,14 +90,19 @@ def canonical(text: str, fold_case: bool = False, keep_raised: bool = True, alik
         pieces = _raised().split(out) if keep_raised else [out]
         pieces[::2] = [unicodedata.normalize("NFKC", p) for p in pieces[::2]]
         out = "".join(pieces)
+        # Decomposed, so that an accented look-alike gives the accented letter.
+        out = unicodedata.normalize("NFD", out)
+        for _ in range(2 if fold_case else 1):
+            out = out.translate(_ALIKE) if alike else out
+            out = unicodedata.normalize("NFD", out.casefold()) if fold_case else out
         if alike:
-            # Decomposed, so that an accented look-alike gives the accented Latin letter.
-            out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", out).translate(_ALIKE))
+            # A word with a letter that no Latin one looks like goes back to its own script as a whole.
+            out = _LATIN_WORD.sub(_home, out)
+        out = unicodedata.normalize("NFC", out)
         out = _SPACE.sub(" ", _IGNORABLE.sub("", out)).strip()
     else:
         out = _IGNORABLE.sub("", out).strip()
-    if fold_case:
-        out = unicodedata.normalize("NFC", out.casefold())
+        out = out.casefold() if fold_case else out
     return out
 
 

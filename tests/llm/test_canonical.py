@@ -34,6 +34,11 @@ def test_other(a, b):
     assert canonical(a) != canonical(b)
 
 
+def test_words_keep_their_script():
+    assert canonical("мoкрые пaльто") == "мокрые пальто" and canonical("Ζοmaletοpi") == "Zomaletopi"
+    assert canonical("ёлка") == canonical("ëлка") == "ёлка" and canonical("γράμμα") == "γράμμα" and canonical("сор") == "cop"
+
+
 def test_folding_is_an_option():
     assert canonical("STRASSE", fold_case=True) == canonical("straße", fold_case=True)
 
