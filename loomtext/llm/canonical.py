@@ -56,7 +56,8 @@ def _back(block: str) -> dict[int, str]:
 
 #: A word that keeps a letter of one of these scripts belongs to it, and so do its letters of Latin shape.
 _HOMES = [(regex.compile(rf"\p{{{block.title()}}}"), _back(block)) for block in ("CYRILLIC", "GREEK")]
-_LATIN_WORD = regex.compile(r"[\p{L}\p{M}]*[\p{Cyrillic}\p{Greek}][\p{L}\p{M}]*")
+_OTHER = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 
 def _home(word: regex.Match) -> str:
@@ -95,9 +96,9 @@ def canonical(text: str, fold_case: bool = False, keep_raised: bool = True, alik
         for _ in range(2 if fold_case else 1):
             out = out.translate(_ALIKE) if alike else out
             out = unicodedata.normalize("NFD", out.casefold()) if fold_case else out
-        if alike:
+        if alike and _OTHER.search(out):
             # A word with a letter that no Latin one looks like goes back to its own script as a whole.
-            out = _LATIN_WORD.sub(_home, out)
+            out = _WORD.sub(_home, out)
         out = unicodedata.normalize("NFC", out)
         out = _SPACE.sub(" ", _IGNORABLE.sub("", out)).strip()
     else:
