@@ -10,6 +10,7 @@ from loomtext.functions import text as T
 from loomtext.operators.segments import paragraphs, segments
 from loomtext.plans import sqltext as S
 from loomtext.plans.registry import Registry
+from loomtext.session import spread
 from loomtext.sources.tables import table
 
 TEXTUAL = Registry()
@@ -50,7 +51,7 @@ def normalize_basic(spark: SparkSession, folder: str) -> DataFrame:
 @TEXTUAL.add("normalize_text")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     """The full normal form of every entry."""
-    return _entries(spark, folder).select("entry_id", T.normal_form(T.compatible("text")).alias("normalized"))
+    return spread(_entries(spark, folder)).select("entry_id", T.normal_form(T.compatible("text")).alias("normalized"))
 
 
 @TEXTUAL.add(
