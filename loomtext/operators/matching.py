@@ -83,12 +83,29 @@ def relocate(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """
     wanted = chunks.select("book_id", "form").where("form <> '' AND book_id IS NOT NULL").distinct()
     held = entries.where("form <> ''").groupBy("book_id", "form").agg(F.min("seq").alias("seq"))
-    a = _opened(wanted, ["book_id"]).withColumnsRenamed({"form": "asked", "whole": "all_asked"})
-    b = _opened(held, ["book_id", "seq"]).withColumnsRenamed({"form": "held", "whole": "all_held"})
+    found = _met(wanted, held, ["book_id"], ["seq"]).groupBy("book_id", F.col("asked").alias("form")).agg(F.min("seq").alias("seq"))
+    return chunks.join(found, ["book_id", "form"]).select("chunk_id", "book_id", "seq")
+
+
+def _met(wanted: DataFrame, held: DataFrame, keys: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Forms ``asked`` and ``held`` of equal ``keys`` of which one begins, equals or goes beyond the other, word by word."""
+    a = _opened(wanted, keys).withColumnsRenamed({"form": "asked", "whole": "all_asked"})
+    b = _opened(held, [*keys, *keep]).withColumnsRenamed({"form": "held", "whole": "all_held"})
     ends = F.col("all_asked") | F.col("all_held")
     fits = F.startswith(F.concat("held", F.lit(" ")), F.concat("asked", F.lit(" "))) | F.startswith(F.concat("asked", F.lit(" ")), F.concat("held", F.lit(" ")))
-    found = a.join(b, ["book_id", "opening"]).where(ends & fits).groupBy("book_id", F.col("asked").alias("form")).agg(F.min("seq").alias("seq"))
-    return chunks.join(found, ["book_id", "form"]).select("chunk_id", "book_id", "seq")
+    return a.join(b, [*keys, "opening"]).where(ends & fits)
+
+
+def found_in(forms: DataFrame, entries: DataFrame) -> DataFrame:
+    """``form``, ``book_id``: every book with an entry that the form begins, equals or goes beyond, word by word.
+
+    ``forms``: ``form``; ``entries``: ``book_id``, ``form``, both in normal form. Equal texts are compared once, in
+    however many books they stand.
+    """
+    held = entries.where("form <> '' AND book_id IS NOT NULL").select("book_id", "form").distinct()
+    met = _met(forms.select("form").where("form <> ''").distinct(), held.select("form").distinct(), [], [])
+    pairs = met.select(F.col("asked").alias("asked"), F.col("held").alias("form")).distinct()
+    return pairs.join(held, "form").select(F.col("asked").alias("form"), "book_id").distinct()
 
 
 @dataclass(frozen=True)
@@ -284,5 +301,34 @@ def lock_points(hits: DataFrame, order: str = "utterance", after: int = LOCK_AFT
     return counted.where(F.col("hit") & (streak >= after)).groupBy(*keys).agg(F.min(order).alias("locked_at"))
 
 
+def first_locks(said: DataFrame, hits: DataFrame, books: DataFrame, after: int = LOCK_AFTER) -> DataFrame:
+    """``session_id``, ``book_id``, ``locked_at``: the first chunk at which any book was hit ``after`` times in a row, and the newest such book.
+
+    ``said``: ``session_id``, ``utterance``, ``form``; ``hits``: ``form``, ``book_id`` as ``found_in`` gives them, checkpointed;
+    ``books``: ``book_id``, ``indexed_at``. Every utterance of a session counts, those found in no book as misses; of books
+    equally new the one with the smallest id wins. Sessions without a lock have no row. Chunks in a row meet the books of
+    the rarest of them only, so a phrase that stands in most books is not held against each of them.
+    """
+    rows = said.where("session_id IS NOT NULL AND utterance IS NOT NULL").select("session_id", "utterance", "form").distinct()
+    placed = running_sum(rows.select("session_id", "utterance").distinct(), ["session_id"], "utterance", F.lit(1), "i")
+    known = hits.join(books.select("book_id", "indexed_at"), "book_id").select("form", "book_id", "indexed_at").distinct()
+    count = known.groupBy("form").agg(F.count("*").alias("n"))
+    hit = rows.join(placed, ["session_id", "utterance"]).join(count, "form").select("session_id", "utterance", "i", F.struct("n", "form").alias("f"))
+    runs = hit.select("session_id", "utterance", "i", F.array("f").alias("fs"))
+    for back in range(1, after):
+        before = hit.select("session_id", (F.col("i") + back).alias("i"), "f")
+        runs = runs.join(before, ["session_id", "i"]).select("session_id", "utterance", "i", F.concat("fs", F.array("f")).alias("fs"))
+    runs = runs.select("session_id", "utterance", F.array_sort(F.array_distinct("fs")).alias("fs"))
+    sets = runs.select("fs").distinct()
+    fits = sets.select("fs", F.col("fs")[0]["form"].alias("form")).join(known, "form").drop("form")
+    for k in range(1, after):
+        # A set of fewer forms has none at this place and stays as it is.
+        more = fits.where(F.size("fs") > k).withColumn("form", F.try_element_at("fs", F.lit(k + 1))["form"])
+        fits = fits.where(F.size("fs") <= k).unionByName(more.join(known.select("form", "book_id"), ["form", "book_id"], "left_semi").drop("form"))
+    newest = fits.groupBy("fs").agg(F.min(F.struct((-F.col("indexed_at")).alias("age"), "book_id")).alias("b"))
+    first = runs.join(newest, "fs").groupBy("session_id").agg(F.min(F.struct("utterance", "b")).alias("l"))
+    return first.select("session_id", F.col("l.b.book_id").alias("book_id"), F.col("l.utterance").alias("locked_at"))
+
+
 def replay(cursor: Cursor, chunks: Iterable[str]) -> list[Found]:
     return [cursor.match(c) for c in chunks]

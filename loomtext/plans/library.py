@@ -13,6 +13,7 @@ from loomtext.operators.segments import paragraphs, segments
 from loomtext.plans import sqltext as S
 from loomtext.plans.registry import Registry
 from loomtext.plans.speech import _RULES
+from loomtext.session import checkpointed
 from loomtext.sources.tables import table
 
 LIBRARY = Registry()
@@ -97,13 +98,15 @@ hits AS (SELECT session_id, book_id, utterance, max((f.form IS NOT NULL)::INT) =
     SELECT session_id, arg_min(book_id, (locked_at, -indexed_at)) AS book_id, min(locked_at) AS locked_at FROM r GROUP BY 1""",
 )
 def identify_lock(spark: SparkSession, folder: str) -> DataFrame:
-    """The book that each session locks on to, of those its chunks name, and at which utterance; the newest book wins a tie."""
-    trace = table(spark, folder, "host_trace").where("text IS NOT NULL AND book_id IS NOT NULL")
-    placed = relocate_chunks(spark, folder).select("chunk_id", F.lit(True).alias("hit"))
-    hits = trace.join(placed, "chunk_id", "left").groupBy("session_id", "book_id", "utterance").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
-    locks = M.lock_points(hits).join(table(spark, folder, "books").select("book_id", "indexed_at"), "book_id")
-    best = F.min_by("book_id", F.struct("locked_at", -F.col("indexed_at"))).alias("book_id")
-    return locks.groupBy("session_id").agg(best, F.min("locked_at").alias("locked_at"))
+    """The book that each session locks on to, of all books, and at which utterance; the newest book wins a tie."""
+    trace = table(spark, folder, "host_trace").where("text IS NOT NULL").select("session_id", "utterance", normal_form(F.col("text")).alias("form"))
+    return M.first_locks(trace, checkpointed(chunk_books(spark, folder)), table(spark, folder, "books"))
+
+
+def chunk_books(spark: SparkSession, folder: str) -> DataFrame:
+    """``form``, ``book_id``: the normal form of every chunk, named book or not, with each book that it can lie in."""
+    forms = table(spark, folder, "host_trace").where("text IS NOT NULL").select(normal_form(F.col("text")).alias("form"))
+    return M.found_in(forms, _paragraphs(spark, folder).select("book_id", normal_form(F.col("text")).alias("form")))
 
 
 @LIBRARY.add(

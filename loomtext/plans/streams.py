@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.functions.text import normal_form
 from loomtext.operators.segments import paragraphs
-from loomtext.plans.library import relocate_chunks
+from loomtext.plans.library import chunk_books
 from loomtext.plans.registry import Registry
 from loomtext.session import checkpointed
 from loomtext.sources.tables import table
@@ -78,11 +79,12 @@ def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
 
 @STREAMS.add("stream_lock")
 def stream_lock(spark: SparkSession, folder: str) -> DataFrame:
-    """The book that each session is locked on to after each chunk, by a stream of hits."""
-    found = checkpointed(relocate_chunks(spark, folder).select("chunk_id", F.col("book_id").alias("book")))
-    rows = _stream(spark, folder, "host_trace").where("session_id IS NOT NULL AND utterance IS NOT NULL")
-    books = F.when(F.col("book").isNotNull(), F.array("book")).otherwise(F.array().cast("array<string>"))
-    hits = rows.join(found, "chunk_id", "left").select("session_id", F.col("utterance").cast("bigint").alias("at"), books.alias("books"))
+    """The book that each session is locked on to after each chunk, of all books, by a stream of hits."""
+    newest = F.array_sort(F.collect_set(F.struct((-F.col("indexed_at")).alias("age"), "book_id")))
+    held = chunk_books(spark, folder).join(table(spark, folder, "books").select("book_id", "indexed_at"), "book_id")
+    found = checkpointed(held.groupBy("form").agg(F.transform(newest, lambda b: b["book_id"]).alias("books")))
+    rows = _stream(spark, folder, "host_trace").where("session_id IS NOT NULL AND utterance IS NOT NULL").withColumn("form", normal_form(F.col("text")))
+    hits = rows.join(found, "form", "left").select("session_id", F.col("utterance").cast("bigint").alias("at"), F.coalesce("books", F.array().cast("array<string>")).alias("books"))
     return R.drained(spark, R.lock_stream(hits))
 
 
