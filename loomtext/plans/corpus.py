@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from loomtext.functions.text import WHITE, WORDLIKE, leaves_quotation_open, let, opens_quotation, word_set
+from loomtext.functions.text import WHITE, WORDLIKE, leaves_quotation_open, opens_quotation, word_set
 from loomtext.operators.ordered import neighbour
 from loomtext.operators.scoring import ratio
 from loomtext.operators.segments import paragraphs, segments
@@ -228,21 +232,34 @@ def _words(c: Column) -> Column:
     SELECT book_id, name, count(*) AS mentions FROM z WHERE NOT inside GROUP BY ALL""",
 )
 def alias_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each name of one or two words is mentioned in its book; a word inside a longer mention does not count."""
-    names = table(spark, folder, "manifest_characters").select("book_id", F.lower("display_name").alias("name")).where(F.col("name").rlike(rf"^{WORDLIKE}+( {WORDLIKE}+)?$")).distinct()
+    """How often each name or alias is mentioned in its book, by its words in lower case; longer mentions come first, and no word counts twice."""
+    name = F.array_join(_words(F.lower("name")), " ")
+    names = _aliases(spark, folder).select("book_id", name.alias("name")).where("name <> ''").distinct()
+    sizes = names.groupBy("book_id").agg(F.collect_set(F.size(F.split("name", " "))).alias("sizes"))
     words = paragraphs(table(spark, folder, "entries")).select("book_id", "seq", _words(F.lower("text")).alias("w"))
-    pairs = let(
-        F.col("w"),
-        lambda w: F.concat(
-            F.transform(w, lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("k"), x.alias("name"))),
-            F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), F.lit(2).alias("k"), F.concat(x, F.lit(" "), F.try_element_at(w, i + 2)).alias("name"))), lambda s: s["name"].isNotNull()),
-        ),
-    )
-    met = words.select("book_id", "seq", F.inline(pairs)).join(names, ["book_id", "name"])
-    # A single word is inside a pair that begins at it or one word before.
-    near = Window.partitionBy("book_id", "seq").orderBy("i").rangeBetween(-1, 0)
-    inside = (F.col("k") == 1) & (F.max(F.when(F.col("k") == 2, 1)).over(near) == 1)
-    return met.withColumn("inside", F.coalesce(inside, F.lit(False))).where("NOT inside").groupBy("book_id", "name").agg(F.count("*").alias("mentions"))
+    at = words.join(sizes, "book_id").select("book_id", "seq", "w", F.explode("sizes").alias("k")).where(F.size("w") >= F.col("k"))
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("w", i, F.col("k")), " ").alias("name")))
+    met = at.select("book_id", "seq", "k", F.inline(grams)).join(names, ["book_id", "name"])
+    found = met.groupBy("book_id", "seq").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("less"), "i", "name"))).alias("m"))
+    kept = found.select("book_id", F.explode(_apart("m.less", "m.i", "m.name")).alias("name"))
+    return kept.groupBy("book_id", "name").agg(F.count("*").alias("mentions"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _apart(less: pd.Series, at: pd.Series, names: pd.Series) -> pd.Series:
+    """The names of a paragraph's mentions, the longest first, without those that share a word with one before."""
+
+    def kept(sizes: Iterable[int], places: Iterable[int], said: Iterable[str]) -> list[str]:
+        taken: set[int] = set()
+        out = []
+        for k, i, name in zip(sizes, places, said):
+            own = range(i, i - k)
+            if taken.isdisjoint(own):
+                taken.update(own)
+                out.append(name)
+        return out
+
+    return pd.Series([kept(*m) for m in zip(less, at, names)])
 
 
 @CORPUS.add(

@@ -33,3 +33,19 @@ def test_identify_lock_over_all_books(spark, tmp_path):
 def test_stream_lock_over_all_books(spark, tmp_path):
     got = run(spark, tmp_path, "stream_lock", **library())
     assert sorted((r.session_id, r.at, r.locked) for r in got if r.locked) == [("s", 4, "new"), ("s", 5, "new"), ("s", 6, "new"), ("t", 5, "one")]
+
+
+def test_alias_mentions_of_any_length(spark, tmp_path):
+    cast = [
+        (1, "b", "l", "Louisa T. Tarrowfell", ["Lou", "Tarrowfell"]),
+        (2, "b", "f", "Fenwargate, Sebastian", None),
+        (3, "b", "s", "Saxelthorn & Nethergate Trading Society", ["Nethergate"]),
+        (4, "c", "x", None, ["Sebastian"]),
+    ]
+    texts = ["Louisa T. Tarrowfell met Fenwargate, Sebastian.", "Lou left the Saxelthorn & Nethergate Trading Society, and Tarrowfell wept.", "Nethergate, Nethergate trading society!"]
+    entries = [(i, "b", 1, i, t) for i, t in enumerate(texts)] + [(9, "c", 1, 0, "Sebastian, Tarrowfell")]
+    got = run(spark, tmp_path, "alias_mentions", manifest_characters=(cast, CAST), entries=(entries, ENTRIES))
+    assert {(r.book_id, r.name, r.mentions) for r in got} == {
+        ("b", "louisa t tarrowfell", 1), ("b", "fenwargate sebastian", 1), ("b", "saxelthorn nethergate trading society", 1),
+        ("b", "lou", 1), ("b", "tarrowfell", 1), ("b", "nethergate", 2), ("c", "sebastian", 1),
+    }
