@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import names as N
@@ -257,9 +257,20 @@ def json_strings(spark: SparkSession, folder: str) -> DataFrame:
     SELECT book_id, seq, min(k)::INT AS words FROM c WHERE c = 1 GROUP BY book_id, seq""",
 )
 def lengthened_openers(spark: SparkSession, folder: str) -> DataFrame:
-    """How many opening words tell a paragraph from all others of its book, where six suffice."""
-    paras = paragraphs(table(spark, folder, "entries"))
-    openings = paras.select("book_id", "seq", F.posexplode(T.openings(T.normal_form(F.col("text")))).alias("k", "p"))
+    """How many opening words tell a paragraph from all others of its book; one that another repeats or goes on from has no row."""
+    paras = paragraphs(table(spark, folder, "entries")).select("book_id", "seq", T.normal_form(F.col("text")).alias("form"))
+    openings = paras.select("book_id", "seq", F.posexplode(T.openings(F.col("form"))).alias("k", "p"))
     # An opening that occurs once has one place, so no rows of a repeated one are gathered.
     alone = openings.groupBy("book_id", "p").agg(F.count("*").alias("c"), F.min("seq").alias("seq"), F.min("k").alias("k")).where("c = 1")
-    return alone.groupBy("book_id", "seq").agg((F.min("k") + 1).alias("words"))
+    short = alone.groupBy("book_id", "seq").agg((F.min("k") + 1).alias("words"))
+    # Of texts in order, each has the most words in common with the one before or behind it. Only those that share all
+    # words of the longest opening are put in order, equal ones once.
+    w = F.split("form", " ")
+    longer = paras.where(F.size(w) >= T.HEAD_WORDS).groupBy("book_id", "form").agg(F.count("*").alias("c"), F.min("seq").alias("seq"))
+    longer = longer.select("book_id", "c", "seq", w.alias("w")).withColumn("head", F.array_join(F.slice("w", 1, T.HEAD_WORDS), " "))
+    ordered = Window.partitionBy("book_id", "head").orderBy("w")
+    common = lambda other: F.coalesce(F.array_position(F.zip_with("w", other, lambda x, y: x.eqNullSafe(y)), F.lit(False)) - 1, F.lit(0))
+    met = longer.withColumns({"a": F.lag("w").over(ordered), "b": F.lead("w").over(ordered)})
+    # One without a neighbour that shares its opening is among the short ones.
+    told = met.withColumn("words", (F.greatest(common(F.col("a")), common(F.col("b"))) + 1).cast("int")).where((F.col("c") == 1) & (F.col("words") > T.HEAD_WORDS) & (F.col("words") <= F.size("w")))
+    return short.unionByName(told.select("book_id", "seq", "words"))

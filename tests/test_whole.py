@@ -49,3 +49,17 @@ def test_alias_mentions_of_any_length(spark, tmp_path):
         ("b", "louisa t tarrowfell", 1), ("b", "fenwargate sebastian", 1), ("b", "saxelthorn nethergate trading society", 1),
         ("b", "lou", 1), ("b", "tarrowfell", 1), ("b", "nethergate", 2), ("c", "sebastian", 1),
     }
+
+
+def test_lengthened_openers_beyond_six_words(spark, tmp_path):
+    texts = [
+        "How quiet it was by the weir!", "How quiet it was by the weir, and cold.", "How quiet it was by the mill that night.", "How quiet it was by the mill that day.",
+        "Again and again and again and again.", "Again and again and again and again.", "A b c d e f g h i j k l m n o", "A b c d e f g h i j k l m n o p", "One two three four five six.", "One two three four five six seven.", "Alone.",
+    ]
+    got = run(spark, tmp_path, "lengthened_openers", entries=([(i, "b", 1, i, t) for i, t in enumerate(texts)], ENTRIES))
+    forms = ["".join(c for c in t.lower() if c.isalnum() or c == " ").split() for t in texts]
+    want = set()
+    for i, f in enumerate(forms):
+        alone = [k for k in range(1, len(f) + 1) if sum(g[:k] == f[:k] for g in forms) == 1]
+        want |= {(i, min(alone))} if alone else set()
+    assert {(r.seq, r.words) for r in got} == want and {(7, 16), (9, 7), (10, 1)} <= want
