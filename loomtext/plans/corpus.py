@@ -16,6 +16,7 @@ from loomtext.operators.segments import paragraphs, segments
 from loomtext.plans import sqltext as S
 from loomtext.plans.registry import Registry
 from loomtext.plans.speech import _RULES, _lines
+from loomtext.session import checkpointed
 from loomtext.sources.tables import table
 
 CORPUS = Registry()
@@ -279,23 +280,50 @@ def names_in_documents(spark: SparkSession, folder: str) -> DataFrame:
     SELECT id, max(steps)::INT AS steps, arg_max(pos, steps)::BIGINT AS root FROM c GROUP BY 1""",
 )
 def reference_chains(spark: SparkSession, folder: str) -> DataFrame:
-    """Where each row's chain of references ends, by as many joins as the longest chain has steps, twelve at most."""
+    """Where each row's chain of references ends, and in how many steps."""
     links = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, None).otherwise(F.floor(F.col("o_orderkey") / 2)).alias("up"))
-    ends = links.select("id", F.col("up").alias("at"), F.lit(0).alias("steps"))
-    hop = links.where("up IS NOT NULL").select(F.col("id").alias("at"), "up")
-    # Each round doubles the way a link goes, so twelve steps take four joins.
-    for reach in (1, 2, 4, 5):
-        ends = ends.join(_ahead(hop, reach), "at", "left").select("id", F.coalesce("far", "at").alias("at"), (F.col("steps") + F.coalesce("went", F.lit(0))).alias("steps"))
-    return ends.select("id", "steps", F.col("at").alias("root"))
-
-
-def _ahead(hop: DataFrame, reach: int) -> DataFrame:
-    """``at``, ``far``, ``went``: up to ``reach`` steps on from each link."""
-    way = hop.select("at", F.col("up").alias("far"), F.lit(1).alias("went"))
-    for _ in range(reach - 1):
-        more = hop.select(F.col("at").alias("far"), "up")
-        way = way.join(more, "far", "left").select("at", F.coalesce("up", "far").alias("far"), (F.col("went") + F.col("up").isNotNull().cast("int")).alias("went"))
-    return way
+    return chain_ends(links)
+
+
+def chain_ends(links: DataFrame) -> DataFrame:
+    """``id``, ``steps``, ``root``: where the chain that begins with each row's link ends, and how many links on that is.
+
+    ``links``: ``id``, once each, and ``up``, null where a chain ends. A chain that runs into a circle ends at the place it
+    would come to a second time.
+    """
+    hop = links.where("up IS NOT NULL").select(F.col("id").alias("at"), F.col("up").alias("far"), F.lit(1).cast("bigint").alias("went"))
+    way, moving = _doubled(hop)
+    if moving.isEmpty():
+        return _ended(links, way)
+    # So many steps on, all that still moves is on its circle, and each place of a circle is someone's.
+    circle = checkpointed(moving.select(F.col("far").alias("at")).distinct())
+    least, _ = _doubled(hop.join(circle, "at", "left_semi"), F.least("at", "far"))
+    around = least.join(least.groupBy("least").agg(F.count("*").alias("around")), "least").select(F.col("at").alias("root"), "around")
+    # Outside of the circles the links end; where they end at one, it is gone around once, and to one short of that from within.
+    way, _ = _doubled(hop.join(circle, "at", "left_anti"))
+    inside = links.join(circle, links["id"] == circle["at"], "left_semi").select("id", F.lit(-1).alias("steps"), F.col("id").alias("root"))
+    outside = _ended(links.join(circle, links["id"] == circle["at"], "left_anti"), way)
+    return inside.unionByName(outside).join(around, "root", "left").select("id", (F.col("steps") + F.coalesce("around", F.lit(0))).cast("int").alias("steps"), "root")
+
+
+def _ended(links: DataFrame, way: DataFrame) -> DataFrame:
+    return links.join(way, links["up"] == way["at"], "left").select("id", F.coalesce("went", F.lit(0)).cast("int").alias("steps"), F.coalesce("far", "up").alias("root"))
+
+
+def _doubled(hop: DataFrame, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``hop`` (``at``, ``far``, ``went``) followed to where links end, each round twice as far; and those of its rows that never end.
+
+    With ``mark``, ``least`` has the smallest place on the way.
+    """
+    way = checkpointed(hop.withColumn("least", F.col("at") if mark is None else mark))
+    total, reach = way.count(), 1
+    while True:
+        on = way.select(F.col("at").alias("far"), F.col("far").alias("_far"), F.col("went").alias("_went"), F.col("least").alias("_least"))
+        moving = way.join(on.select("far"), "far", "left_semi")
+        if reach > total or moving.isEmpty():
+            return way, moving
+        way = checkpointed(way.join(on, "far", "left").select("at", F.coalesce("_far", "far").alias("far"), (F.col("went") + F.coalesce("_went", F.lit(0))).alias("went"), F.least("least", "_least").alias("least")))
+        reach *= 2
 
 
 @CORPUS.add(

@@ -63,3 +63,26 @@ def test_lengthened_openers_beyond_six_words(spark, tmp_path):
         alone = [k for k in range(1, len(f) + 1) if sum(g[:k] == f[:k] for g in forms) == 1]
         want |= {(i, min(alone))} if alone else set()
     assert {(r.seq, r.words) for r in got} == want and {(7, 16), (9, 7), (10, 1)} <= want
+
+
+def walked(ups):
+    want = set()
+    for i, at in ups.items():
+        steps, seen = 0, {i}
+        while ups.get(at) is not None and at not in seen:
+            seen.add(at)
+            at, steps = ups[at], steps + 1
+        want.add((i, steps, at))
+    return want
+
+
+def test_reference_chains_to_the_end(spark, tmp_path):
+    from loomtext.plans.corpus import chain_ends
+
+    ids = {2**k - 1 for k in range(1, 22)} | set(range(1, 60))
+    got = run(spark, tmp_path, "reference_chains", orders=([(i,) for i in ids], "o_orderkey bigint"))
+    want = walked({i: None if i % 4 == 0 else i // 2 for i in ids})
+    assert {(r.id, r.steps, r.root) for r in got} == want and max(s for _, s, _ in want) == 20
+    ups = {1: 2, 2: 3, 3: 1, 4: 1, 5: 4, 6: 6, 7: 6, 8: 9, 9: None, 10: 99} | {i: i - 1 for i in range(21, 40)} | {20: 5}
+    got = chain_ends(spark.createDataFrame(list(ups.items()), "id bigint, up bigint")).collect()
+    assert {(r.id, r.steps, r.root) for r in got} == walked(ups)
