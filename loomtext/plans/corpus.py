@@ -108,12 +108,20 @@ def enrichment_fold(spark: SparkSession, folder: str) -> DataFrame:
     SELECT s.book_id, said, arg_max(id, (length(known), known)) AS id FROM s JOIN e ON s.book_id = e.book_id AND suffix(said, known) GROUP BY ALL""",
 )
 def canonical_id_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of documents with the character whose longest name they are or end with."""
+    """Names of documents with their character: the one of that name, else of the longest name they end with, else of the longest name that ends with them."""
     from loomtext.operators.attribution import known_names
 
     known = _aliases(spark, folder).where("name <> ''").groupBy("book_id", F.lower("name").alias("name")).agg(F.min("char_id").alias("char_id"))
     said = table(spark, folder, "documents").where("book_id IS NOT NULL").select("book_id", F.explode("cast_names").alias("n")).where("n IS NOT NULL AND n <> ''")
-    return known_names(said.select("book_id", F.lower("n").alias("folded")).distinct(), known).select("book_id", F.col("folded").alias("said"), F.col("char_id").alias("id"))
+    said = said.select("book_id", F.lower("n").alias("folded")).distinct()
+    # A name equal to the one said is longer than any that it only ends with.
+    first = known_names(said, known)
+    # Every ending of a known name is joined by equality.
+    endings = known.select("book_id", "char_id", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
+    endings = endings.select("book_id", "char_id", "name", F.substr("name", F.col("at"), F.length("name")).alias("folded"))
+    rest = said.join(first, ["book_id", "folded"], "left_anti").join(endings, ["book_id", "folded"])
+    second = rest.groupBy("book_id", "folded").agg(F.max_by("char_id", F.struct(F.length("name"), "name")).alias("char_id"))
+    return first.unionByName(second).select("book_id", F.col("folded").alias("said"), F.col("char_id").alias("id"))
 
 
 @CORPUS.add(

@@ -86,3 +86,12 @@ def test_reference_chains_to_the_end(spark, tmp_path):
     ups = {1: 2, 2: 3, 3: 1, 4: 1, 5: 4, 6: 6, 7: 6, 8: 9, 9: None, 10: 99} | {i: i - 1 for i in range(21, 40)} | {20: 5}
     got = chain_ends(spark.createDataFrame(list(ups.items()), "id bigint, up bigint")).collect()
     assert {(r.id, r.steps, r.root) for r in got} == walked(ups)
+
+
+def test_canonical_id_by_endings_either_way(spark, tmp_path):
+    cast = [(1, "b", "h", "Miss Harriet Fenwarfell", ["Hattie"]), (2, "b", "j", "Jürgen", ["Dr. Jürgen Pellowwick"]), (3, "b", "x", "Old Miss Harriet Fenwarfell", None), (4, "c", "n", "Nobody", None)]
+    docs = [("b", ["Harriet Fenwarfell", "Miss Harriet Fenwarfell", "jürgen pellowwick", "Young Hattie", "Nobody", "", None]), ("c", ["Body", "Hattie"])]
+    got = run(spark, tmp_path, "canonical_id_join", manifest_characters=(cast, CAST), documents=(docs, "book_id string, cast_names array<string>"))
+    assert {(r.book_id, r.said, r.id) for r in got} == {
+        ("b", "harriet fenwarfell", "x"), ("b", "miss harriet fenwarfell", "h"), ("b", "jürgen pellowwick", "j"), ("b", "young hattie", "h"), ("c", "body", "n"),
+    }
