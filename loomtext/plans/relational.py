@@ -16,7 +16,16 @@ STATEMENTS: list[tuple[str, str, str | None]] = [
       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""", None),
     ("rel_inner_join", "SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name", None),
     ("rel_left_join", "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey", None),
-    ("rel_full_join", "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS c, count(s_suppkey) AS s FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal AND c_custkey % 50 = 0 GROUP BY 1", None),
+    # Counts the rows of customer FULL JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal from counts by balance: who
+    # meets n of the other side has n rows, who meets none has one. The balances of a nation are in cents, so a window is bounded.
+    ("rel_full_join", """WITH c AS (SELECT c_nationkey, c_acctbal, count(*) AS c_all, count(c_custkey) AS c_n FROM customer GROUP BY 1, 2),
+      s AS (SELECT s_nationkey, s_acctbal, count(*) AS s_all, count(s_suppkey) AS s_n FROM supplier GROUP BY 1, 2),
+      b AS (SELECT coalesce(c_nationkey, s_nationkey) AS k, coalesce(c_acctbal, s_acctbal) AS bal, c_all, c_n, s_all, s_n FROM c FULL JOIN s ON c_nationkey = s_nationkey AND c_acctbal = s_acctbal),
+      m AS (SELECT *, sum(CASE WHEN bal IS NOT NULL THEN s_all END) OVER (PARTITION BY k ORDER BY bal DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS richer,
+        sum(CASE WHEN bal IS NOT NULL THEN c_all END) OVER (PARTITION BY k ORDER BY bal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS poorer FROM b)
+      SELECT k, sum(coalesce(c_n, 0) * CASE WHEN k IS NOT NULL AND bal IS NOT NULL AND richer > 0 THEN richer ELSE 1 END) AS c,
+        sum(coalesce(s_n, 0) * CASE WHEN k IS NOT NULL AND bal IS NOT NULL AND poorer > 0 THEN poorer ELSE 1 END) AS s FROM m GROUP BY k""",
+     "SELECT coalesce(c_nationkey, s_nationkey) AS k, count(c_custkey) AS c, count(s_suppkey) AS s FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal < s_acctbal AND c_custkey % 50 = 0 GROUP BY 1"),
     ("rel_semi_join", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)", None),
     ("rel_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
     ("rel_theta_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name", None),

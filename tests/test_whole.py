@@ -95,3 +95,15 @@ def test_canonical_id_by_endings_either_way(spark, tmp_path):
     assert {(r.book_id, r.said, r.id) for r in got} == {
         ("b", "harriet fenwarfell", "x"), ("b", "miss harriet fenwarfell", "h"), ("b", "jürgen pellowwick", "j"), ("b", "young hattie", "h"), ("c", "body", "n"),
     }
+
+
+def test_full_join_of_all_customers(spark, tmp_path):
+    customers = [(1, 7, 5.0), (2, 7, 9.5), (3, 7, -1.0), (4, 7, 5.0), (5, 8, 1.0), (6, None, 2.0), (7, 7, None), (None, 7, 0.5), (50, 7, 0.0), (51, 9, 0.0)]
+    suppliers = [(1, 7, 5.0), (2, 7, 7.0), (3, 7, 7.0), (4, 7, -2.0), (5, 10, 3.0), (6, None, 2.0), (7, 7, None), (8, 9, 0.0), (None, 7, 6.0)]
+    got = run(spark, tmp_path, "rel_full_join", customer=(customers, "c_custkey bigint, c_nationkey int, c_acctbal double"), supplier=(suppliers, "s_suppkey bigint, s_nationkey int, s_acctbal double"), nation=([(7,)], "n_nationkey int"))
+    meets = lambda c, s: None not in (c[1], s[1], c[2], s[2]) and c[1] == s[1] and c[2] < s[2]
+    rows = [(c, s) for c in customers for s in suppliers if meets(c, s)]
+    rows += [(c, (None, None, None)) for c in customers if not any(meets(c, s) for s in suppliers)] + [((None, None, None), s) for s in suppliers if not any(meets(c, s) for c in customers)]
+    nation = lambda r: r[0][1] if r[0][1] is not None else r[1][1]
+    want = {(k, sum(c[0] is not None for c, s in rows if nation((c, s)) == k), sum(s[0] is not None for c, s in rows if nation((c, s)) == k)) for k in map(nation, rows)}
+    assert {(r.k, r.c, r.s) for r in got} == want
