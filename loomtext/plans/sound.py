@@ -290,8 +290,8 @@ def waveform_compare(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {_PCM} SELECT vec_id, (list_position(x[1:10], list_max(x[1:10])) - 1)::INT AS best, round(1 / list_sum(list_transform(x[1:10], lambda v: exp(v - list_max(x[1:10])))), 5) AS share FROM pcm",
 )
 def softmax_best(spark: SparkSession, folder: str) -> DataFrame:
-    """The best of each vector's first ten scores and its share."""
-    best = U.softmax_best(F.slice("pcm", 1, 10))
+    """The best of each vector's scores and its share."""
+    best = U.softmax_best(F.col("pcm"))
     return _samples(spark, folder).select("vec_id", best.alias("b")).select("vec_id", "b.best", F.round("b.share", 5).alias("share"))
 
 

@@ -107,3 +107,10 @@ def test_full_join_of_all_customers(spark, tmp_path):
     nation = lambda r: r[0][1] if r[0][1] is not None else r[1][1]
     want = {(k, sum(c[0] is not None for c, s in rows if nation((c, s)) == k), sum(s[0] is not None for c, s in rows if nation((c, s)) == k)) for k in map(nation, rows)}
     assert {(r.k, r.c, r.s) for r in got} == want
+
+
+def test_softmax_best_of_all_scores(spark, tmp_path):
+    rows = [(1, [0.0] * 10 + [3.0] + [0.0] * 53), (2, [1.0, 0.0])]
+    got = run(spark, tmp_path, "softmax_best", embeddings=(rows, "vec_id bigint, embedding array<float>"))
+    e = 2.718281828459045
+    assert {(r.vec_id, r.best, r.share) for r in got} == {(1, 10, round(e**3 / (e**3 + 63), 5)), (2, 0, round(e / (e + 1), 5))}
