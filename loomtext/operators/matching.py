@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import HEAD_WORDS, STRIPPED, index_sentences, let, normal_form, openings
@@ -253,17 +253,27 @@ def follow(chunks: DataFrame, entries: DataFrame, window: int = WINDOW) -> DataF
     """Every session's chunks in order of ``utterance``, each placed in its book by a cursor: ``how``, ``first_seq``, ``last_seq``, ``partial``.
 
     ``chunks``: ``session_id``, ``book_id``, ``chunk_id``, ``utterance``, ``text``; ``entries``: ``book_id``, ``seq``, ``text``. A
-    session gets the entries that one of its chunks can begin at, and as many after each as the chunk has words: all that its
-    cursor can ever reach, not the book.
+    session gets the entries that one of its chunks can begin at, and as many after each as its chunks, read on from there, can
+    go through: an entry for each word of a chunk, or the window where that is more. That is all that its cursor can ever reach.
     """
     asked = chunks.where("book_id IS NOT NULL AND text IS NOT NULL").withColumn("form", normal_form(F.col("text"))).where("form <> ''")
     held = entries.withColumn("form", normal_form(F.col("text"))).where("form <> ''")
-    wanted = asked.select("session_id", "book_id", "form").distinct().withColumn("words", F.size(F.split("form", " ")))
-    a = _opened(wanted.withColumn("k", F.col("words")), ["session_id", "book_id", "words"]).withColumnsRenamed({"form": "asked", "whole": "all_asked"})
+    wanted = asked.select("session_id", "book_id", "form").distinct()
+    forms = wanted.select("book_id", "form").distinct()
+    a = _opened(forms, ["book_id"]).withColumnsRenamed({"form": "asked", "whole": "all_asked"})
     b = _opened(held, ["book_id", "seq"]).withColumnsRenamed({"form": "held", "whole": "all_held"})
-    fits = (F.col("all_asked") | F.col("all_held")) & (F.startswith("held", F.col("asked")) | F.startswith(F.concat("asked", F.lit(" ")), F.concat("held", F.lit(" "))))
-    starts = a.join(b, ["book_id", "opening"]).where(fits).groupBy("session_id", "book_id", "seq").agg(F.max("words").alias("words"))
-    reached = starts.select("session_id", "book_id", F.explode(F.sequence("seq", F.col("seq") + F.greatest("words", F.lit(window)))).alias("seq")).distinct()
+    # A short chunk that ends inside a word shares all words but that one, and begins the next.
+    most = F.size(F.split("asked", " "))
+    cut = (most <= HEAD_WORDS) & (F.size(F.split("opening", " ")) == most - 1)
+    fits = (F.col("all_asked") | F.col("all_held") | cut) & (F.startswith("held", F.col("asked")) | F.startswith(F.concat("asked", F.lit(" ")), F.concat("held", F.lit(" "))))
+    places = a.join(b, ["book_id", "opening"]).where(fits).select("book_id", F.col("asked").alias("form"), "seq").distinct()
+    starts = wanted.join(places, ["book_id", "form"]).select("session_id", "book_id", "seq").distinct()
+    # Any chunk may be read on from where the last one ended, whether or not it could begin elsewhere.
+    far = asked.groupBy("session_id", "book_id").agg(F.sum(F.greatest(F.size(F.split("form", " ")), F.lit(window))).alias("far"))
+    last = held.groupBy("book_id").agg(F.max("seq").alias("last"))
+    after = F.lead("seq").over(Window.partitionBy("session_id", "book_id").orderBy("seq"))
+    ends = F.least(F.col("seq") + F.col("far"), F.coalesce(F.col("after") - 1, F.col("last"))).cast("int")
+    reached = starts.withColumn("after", after).join(far, ["session_id", "book_id"]).join(last, "book_id").select("session_id", "book_id", F.explode(F.sequence("seq", ends)).alias("seq"))
     given = reached.join(entries.select("book_id", "seq", "text"), ["book_id", "seq"]).select(F.col("session_id").alias("s"), F.col("book_id").alias("b"), "seq", F.col("text").alias("t"))
 
     def run(key: tuple, said: pd.DataFrame, book: pd.DataFrame) -> pd.DataFrame:

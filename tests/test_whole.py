@@ -114,3 +114,22 @@ def test_softmax_best_of_all_scores(spark, tmp_path):
     got = run(spark, tmp_path, "softmax_best", embeddings=(rows, "vec_id bigint, embedding array<float>"))
     e = 2.718281828459045
     assert {(r.vec_id, r.best, r.share) for r in got} == {(1, 10, round(e**3 / (e**3 + 63), 5)), (2, 0, round(e / (e + 1), 5))}
+
+
+def test_match_cursor_reads_on_and_inside_words(spark, tmp_path):
+    from loomtext.operators.matching import Cursor, Entry
+
+    texts = ["Chapter II. The lamps", *(f"He said {w}, and then {w} again." for w in "one two three four five six seven eight nine ten eleven twelve".split()), "Chapter III. The end"]
+    said = ["Chapter I", "lamps", "I. The lamps He said one,", *(f"and then {a} again. He said {b}," for a, b in zip("one two three four five six seven eight nine ten eleven".split(), "two three four five six seven eight nine ten eleven twelve".split()))]
+    tables = {
+        "entries": ([(i, "b", 1, i, t) for i, t in enumerate(texts)], ENTRIES),
+        "host_trace": ([(i, "s", "b", i, t) for i, t in enumerate(said)] + [(90, "t", "b", 0, "Chapter I")], TRACE),
+    }
+    got = {r.chunk_id: (r.how, r.first_seq, r.last_seq, r.partial) for r in run(spark, tmp_path, "match_cursor", **tables)}
+    cursor = Cursor({i: Entry(i, t) for i, t in enumerate(texts)})
+    want = {}
+    for i, t in enumerate(said):
+        f = cursor.match(t)
+        want[i] = (f.how, f.seqs[0] if f.seqs else None, f.seqs[-1] if f.seqs else None, f.partial)
+    assert {k: v for k, v in got.items() if k < 90} == want and got[90] == ("RELOCATED", 0, 0, True)
+    assert want[len(said) - 1] == ("FORWARD", 11, 12, True)
