@@ -20,35 +20,29 @@ _CLAUSE = regex.compile(r"[,;:،؛、，；：—–](?=[\s\p{P}]|[\p{Han}\p{Hir
 _SPACE = regex.compile(r"\s+")
 _MARK = regex.compile(r"\p{P}+")
 _GLYPH = regex.compile(r"\X")
+#: A stretch without white space or marks.
+_RUN = regex.compile(r"[^\s\x85\p{Z}\p{P}]+")
 
 
 def _boundaries(text: str) -> list[list[int]]:
-    """Places where a cut may fall, by falling strength; the weakest lie anywhere between glyphs and are found when needed."""
+    """Places where a cut may fall, by falling strength; those between glyphs are looked for only when none of these serves."""
     ends = [[m.end() for m in pattern.finditer(text)] for pattern in (_PARAGRAPH, _LINE)]
     starts = [a for a, _ in sentence_spans(text)]
     return [*ends, starts, *[[m.end() for m in pattern.finditer(text)] for pattern in (_CLAUSE, _SPACE, _MARK)]]
 
 
-def _between_glyphs(text: str, low: int, high: int, middle: int) -> int:
-    """The place nearest to ``middle`` that splits no glyph, or ``middle`` if one glyph fills the range."""
-    left = max(low, middle - 64)
-    best, at = None, left
-    for m in _GLYPH.finditer(text, left, min(high, middle + 64)):
-        at = m.end()
-        if low < at < high and (best is None or abs(at - middle) < abs(best - middle)):
-            best = at
-    return middle if best is None else best
-
-
-def cut_points(text: str, room: int) -> list[tuple[int, bool]]:
-    """Where to cut ``text`` so that no part is longer than ``room``, and whether no natural boundary was there.
+def cut_points(text: str, room: int, long_run: int | None = None) -> list[tuple[int, bool]]:
+    """Where to cut ``text`` so that no part is longer than ``room``, and whether the cut falls into a stretch of more
+    than ``long_run`` (default: ``room``) characters without white space or marks.
 
     A part that is too long is cut at its strongest boundary in the half around the middle (the
     nearest to the middle of equals), else at the natural boundary nearest to the middle, else
-    between two glyphs; both halves are then treated alike.
+    between the two glyphs nearest to the middle, and inside a glyph only if one alone fills the part; both
+    halves are then treated alike.
     """
     places = _boundaries(text)
-    out: list[tuple[int, bool]] = []
+    glyphs: list[int] | None = None
+    out: list[int] = []
     todo = [(0, len(text))]
     while todo:
         low, high = todo.pop()
@@ -62,7 +56,7 @@ def cut_points(text: str, room: int) -> list[tuple[int, bool]]:
             k = bisect_left(level, middle, i, j)
             return min((level[x] for x in (k - 1, k) if i <= x < j), key=lambda p: (abs(p - middle), p), default=None)
 
-        cut, hard = None, False
+        cut = None
         for level in places:
             cut = nearest(level, low + size // 4 - 1, high - size // 4 + 1)
             if cut is not None and low < cut < high:
@@ -73,20 +67,33 @@ def cut_points(text: str, room: int) -> list[tuple[int, bool]]:
             if found:
                 cut = min(found, key=lambda p: (abs(p - middle), p))
         if cut is None:
-            cut, hard = _between_glyphs(text, low, high, middle), True
-        out.append((cut, hard))
+            if glyphs is None:
+                glyphs = [m.end() for m in _GLYPH.finditer(text)]
+            cut = nearest(glyphs, low, high)
+        if cut is None:
+            cut = middle
+        out.append(cut)
         todo += [(low, cut), (cut, high)]
-    return sorted(out)
+    out.sort()
+    least = room if long_run is None else long_run
+    runs = [m.span() for m in _RUN.finditer(text) if m.end() - m.start() > least]
+    starts = [a for a, _ in runs]
+
+    def inside(cut: int) -> bool:
+        i = bisect_left(starts, cut) - 1
+        return i >= 0 and cut < runs[i][1]
+
+    return [(c, inside(c)) for c in out]
 
 
 def piece_spans(text: str, limit: int = 1000, overlap: int = 100) -> list[tuple[int, int, bool]]:
     """The pieces of a text as ``(start, end, hard)``: none longer than ``limit``, each but the first opening with the
-    last ``overlap`` characters of the piece before; ``hard`` if the piece ends inside a stretch without a natural boundary."""
+    last ``overlap`` characters of the piece before; ``hard`` if the piece ends inside a stretch of more than ``limit`` characters without white space or marks."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be shorter than the limit")
     if len(text) <= limit:
         return [(0, len(text), False)] if text else []
-    cuts = cut_points(text, limit - overlap)
+    cuts = cut_points(text, limit - overlap, limit)
     ends = [c for c, _ in cuts] + [len(text)]
     starts = [0] + [c for c, _ in cuts]
     return [(max(0, s - overlap), e, h) for s, e, h in zip(starts, ends, [h for _, h in cuts] + [False])]

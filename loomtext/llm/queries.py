@@ -68,23 +68,17 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The entries that are cut, and whether one holds a stretch without a natural boundary that no piece can hold."""
-    cut = p5_pieces(spark, folder)
-    # Any stretch longer than the limit is cut inside, since no piece may hold it; the exact length is then checked on the cut entries.
-    hard = cut.groupBy("entry_id").agg(F.max("hard").alias("hard"))
-    entries = table(spark, folder, "entries").select("entry_id", "text").where(F.char_length("text") > REQUEST)
-    stretch = rf"[^\s\x{{85}}\p{{Z}}\p{{P}}]{{{REQUEST + 1}}}"
-    return (
-        hard.join(entries, "entry_id")
-        .select("entry_id", F.when(F.col("hard") & F.col("text").rlike(stretch), "hard").otherwise("soft").alias("cut"))
-        .distinct()
-    )
+    """The entries that are cut, and whether one holds a stretch without white space or marks that no piece can hold."""
+    cut = p5_pieces(spark, folder).groupBy("entry_id").agg(F.max("hard").alias("hard"))
+    return cut.select("entry_id", F.when(F.col("hard"), "hard").otherwise("soft").alias("cut"))
 
 
 @LLM.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every sentence of every entry with its place."""
-    return sentences(table(spark, folder, "entries"))
+    """Every sentence of every entry with its place, by the rules of its book's language."""
+    books = table(spark, folder, "books").select("book_id", "lang").dropDuplicates(["book_id"])
+    entries = table(spark, folder, "entries").select("entry_id", "book_id", "text").join(books, "book_id", "left")
+    return sentences(entries, lang="lang")
 
 
 @LLM.add("p7_ids")

@@ -41,6 +41,14 @@ def test_glyphs_stay_whole():
     assert all(text[b] != "́" for _, b, _ in check(text, 1000, 100)[:-1])
 
 
+def test_long_glyphs_stay_whole():
+    text = "x" * 500 + "a" + "\u0301" * 300 + "x" * 500
+    assert [b for _, b, _ in check(text, 1000, 100)] == [500, 1301]
+    assert all(h for _, _, h in check("x" * 1500, 1000, 100)[:-1])
+    # Cut, but no longer than a piece may be.
+    assert not any(h for _, _, h in check("x" * 950 + " " + "y" * 400, 1000, 100))
+
+
 def test_bad_parameters():
     with pytest.raises(ValueError):
         piece_spans("x" * 50, 10, 10)

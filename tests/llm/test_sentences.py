@@ -63,3 +63,32 @@ def test_table(spark):
     assert [tuple(r) for r in got.where("entry_id = 3").collect()] == [(3, 0, 4), (3, 5, 9)] * 2
     assert {r.entry_id for r in got.collect()} == {3, 4}
     assert sentences(spark.createDataFrame([], "entry_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,lang,cuts",
+    [
+        ("He lives on Elm St. The house is red.", "en", 2),
+        ("Is it so? yes.", "en", 2),
+        ("“Is it so?” asked Ann.", "en", 1),
+        ("See vol. Two.", "en", 1),
+        ("Am 3. Mai kam er.", "de", 1),
+        ("There were 3. Nobody spoke.", "en", 2),
+        ("Vea a la Sra. Ruiz.", "es", 1),
+        ("We met at 6 a.m. Jonathan spoke.", "en", 2),
+        ("x" * 500 + " " + "e.g. " * 200 + "Mr. Brown said so. He left.", "en", 2),
+    ],
+)
+def test_lists_of_the_language(text, lang, cuts):
+    assert len(sentence_spans(text, lang)) == cuts
+
+
+def test_a_long_clause_behind_a_quotation():
+    far = "“Go!” " + "Anna Maria Luisa Beata Clara Dora Edith Frieda Greta " * 8 + "said."
+    assert len(sentence_spans(far, "en")) == 1
+
+
+def test_language_column(spark):
+    rows = spark.createDataFrame([(1, "Am 3. Mai kam er.", "de"), (2, "There were 3. Nobody spoke.", "en"), (3, None, "de"), (4, "Am 3. Mai.", None)], "entry_id bigint, text string, lang string")
+    got = sentences(rows, lang="lang").groupBy("entry_id").count().collect()
+    assert {r["entry_id"]: r["count"] for r in got} == {1: 1, 2: 2, 4: 1}
