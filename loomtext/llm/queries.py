@@ -110,7 +110,7 @@ def p8_lengths(spark: SparkSession, folder: str) -> DataFrame:
 @LLM.add("p9_found")
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each item of personal information in the documents with its place."""
-    found = personal_information(table(spark, folder, "documents"))
+    found = personal_information(table(spark, folder, "documents"), kinds=("email", "phone", "identity", "address", "name"))
     return found.select("doc_id", F.inline("items"))
 
 

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomtext.llm import pii
 from loomtext.llm.pii import find_items, personal_information, redact
 
 CASES = [
@@ -30,6 +31,14 @@ CASES = [
     ("Our neighbour Tamartaud, Søren heard it. As Ngozi de la Øverhald wrote, no.", [("name", "Tamartaud, Søren"), ("name", "Ngozi de la Øverhald")]),
     ("Ship it to Mesan M. Vandermolk, 79 Tollgate Rd\nPort Ossery\nZZ19 9QX.", [("name", "Mesan M. Vandermolk"), ("address", "79 Tollgate Rd\nPort Ossery\nZZ19 9QX")]),
     ("Меня зовут Верея Крутогоров, да.", [("name", "Верея Крутогоров")]),
+    ("tracking 987-65-4321, parcel 12345678A; 123-45-6789 order no", []),
+    ("Steuer: 12345678A, DNI 12345678Z and 12345678Z alone", [("identity", "12345678A"), ("identity", "12345678Z"), ("identity", "12345678Z")]),
+    ("Card 4111 1111 1111 1111, not 4111 1111 1111 1112; GB82 WEST 1234 5698 7654 32, not GB83 WEST 1234 5698 7654 32.",
+     [("card", "4111 1111 1111 1111"), ("iban", "GB82 WEST 1234 5698 7654 32")]),
+    ("Am M\u00fchlbach 12, 80331 M\u00fcnchen", [("address", "Am M\u00fchlbach 12, 80331 M\u00fcnchen")]),
+    ("Am Mu\u0308hlbach 12, 80331 Mu\u0308nchen", [("address", "Am Mu\u0308hlbach 12, 80331 Mu\u0308nchen")]),
+    ("The passport that my old and rather forgetful neighbour from the third floor left behind has the number C00X88696", [("identity", "C00X88696")]),
+    ("ab at " + "a" * 100 + " dot test", [("email", "ab at " + "a" * 100 + " dot test")]),
     ("Mr. Quill asked Ann. The Glass Meridian is set in Port Ossery. The firm of Ruskstane & Co. sold it.", []),
 ]
 
@@ -62,3 +71,22 @@ def test_table(spark):
     assert len(got) == 5 and by[1].redacted is None and by[1]["items"] == [] and by[2].redacted == ""
     assert by[3].redacted == "mail [EMAIL]" and by[4]["items"][0].char_start == 240_000
     assert personal_information(spark.createDataFrame([], "doc_id bigint, text string, cast_names array<string>")).count() == 0
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for part in ("id ", "idle ", "phone ", "7 id ", "Rue ", "Am ", "as Ann Bell ", "a@b.test ", "at ", "Box ", "C/ ", "12 Salt "):
+        find_items(part * 20_000)
+    assert time.process_time() - began < 60
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(sum((c[0].split(" ") for c in CASES), [])), max_size=12))
+def test_signs_leave_no_address_out(words):
+    text = " ".join(words)
+    signs = pii._signs(text, pii._lowered(text))
+    for i, pattern in enumerate(pii._ADDRESSES):
+        if pattern is not None and pattern.search(text):
+            assert i in signs.addresses if pii._SIGNS[i] else pii._GREEK.search(text)
