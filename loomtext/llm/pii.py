@@ -263,8 +263,8 @@ _NUMBER_WORDS = regex.compile(r"(?:[A-Z\d]+(?:[ -](?=[A-Z]?\d|[A-Z]\b))?)+")
 #: A letter that carries a word on; words of scripts without spaces may be followed by any letter.
 _CARRIES_ON = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}]")
 #: What may not stand between a word and the item that it announces.
-_CLAUSE_END = regex.compile(r"[\n!?]|\.\s+\p{Lu}|\d")
-_SENTENCE_END = regex.compile(r"[\n!?]|\.\s+\p{Lu}")
+_SENTENCE_END = regex.compile(r"[\n!?]|(?<!(?i:nos?|nrs?|num))\.\s+\p{Lu}")
+_CLAUSE_END = regex.compile(rf"{_SENTENCE_END.pattern}|\d")
 
 
 def _announced(text: str, at: int, kind: str, signs: Signs) -> int:
