@@ -45,12 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores.
+    """``df`` in as many partitions as there are cores, if it comes in fewer than half as many.
 
-    For costly work on rows of a table that comes in fewer pieces than that, such as one file of one
-    row group; a table in enough pieces, or one that a shuffle has spread already, is not touched.
+    For costly work on rows of a table that comes in few pieces, such as one file of one row group, which no setting
+    of the scan can split. A table in enough pieces to keep half of the cores busy, or one that a shuffle has spread
+    already, is not touched.
     """
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    return df if 2 * df.rdd.getNumPartitions() > wanted else df.repartition(wanted)
