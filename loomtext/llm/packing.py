@@ -37,14 +37,47 @@ class Bins:
     room: int
 
 
+def _fill(sizes: Sequence[int], counts: Mapping[int, int], top: int, capacity: int) -> tuple[int, int]:
+    """How full a container of ``capacity`` gets that takes an item of ``top`` and then always the largest that still fits, and how often that can be done.
+
+    ``sizes`` are those of ``counts`` in rising order.
+    """
+    room, times = capacity, counts[top]
+    i = bisect_right(sizes, top)
+    while room and i:
+        i = bisect_right(sizes, min(room, sizes[i - 1]), 0, i)
+        if not i:
+            break
+        size = sizes[i - 1]
+        n = min(room // size, counts[size])
+        if n:
+            room -= n * size
+            times = min(times, counts[size] // n)
+        i -= 1
+    return capacity - room, max(1, times)
+
+
+def total_cost(bins: Sequence[Bins], costs: Mapping[int, float]) -> float:
+    return sum(b.count * costs[b.capacity] for b in bins)
+
+
 def best_fit(counts: Mapping[int, int], costs: Mapping[int, float]) -> tuple[list[Run], list[Bins]]:
+    """Variable-capacity best fit, all capacities weighed jointly: the cheapest of the plan over all of them and of the plans with one alone."""
+    plans = [_best_fit(counts, costs)]
+    if len(costs) > 1:
+        most = max(counts, default=0)
+        plans += [_best_fit(counts, {c: price}) for c, price in costs.items() if c >= most]
+    return min(plans, key=lambda plan: total_cost(plan[1], costs))
+
+
+def _best_fit(counts: Mapping[int, int], costs: Mapping[int, float]) -> tuple[list[Run], list[Bins]]:
     """Variable-capacity best fit over the number of items of each size, largest size first.
 
-    Each item goes to the open container with the least room that holds it. If none does, the
-    capacity with the least cost for each unit, of those that hold the item, is opened (the larger
-    one on a tie); at the end every container shrinks to the cheapest capacity that holds its
-    contents. Equal containers are handled together, so the work follows the number of distinct
-    sizes, not of items. No size may exceed the largest capacity.
+    Each item goes to the open container with the least room that holds it. If none does, a
+    capacity is opened: the one with the least cost for each unit of what it would hold, were it filled
+    with the items that are left, largest first, and then shrunk (the larger one on a tie); as many of it as can be filled alike. At
+    the end every container shrinks to the cheapest capacity that holds its contents. Equal containers are handled together, so
+    the work follows the number of distinct sizes, not of items. No size may exceed the largest capacity.
     """
     largest = max(costs)
     if any(s > largest or s < 1 for s in counts):
@@ -60,6 +93,7 @@ def best_fit(counts: Mapping[int, int], costs: Mapping[int, float]) -> tuple[lis
             insort(open_rooms, bins.room)
         by_room[bins.room].append(bins)
 
+    rising, ahead = sorted(counts), dict(counts)
     for size in sorted(counts, reverse=True):
         left, rank = counts[size], 0
         while left:
@@ -71,9 +105,18 @@ def best_fit(counts: Mapping[int, int], costs: Mapping[int, float]) -> tuple[lis
                     del by_room[room]
                     open_rooms.pop(i)
             else:
-                fit = [c for c in costs if c >= size]
-                capacity = min(fit, key=lambda c: (costs[c] / c, -c))
-                group = Bins(made, max(1, math.ceil(left / (capacity // size))), capacity, capacity)
+                if len(costs) == 1:
+                    capacity, count = largest, math.ceil(left / (largest // size))
+                else:
+                    ahead[size] = left
+                    tried = []
+                    for c in costs:
+                        if c >= size:
+                            full, times = _fill(rising, ahead, size, c)
+                            tried.append((min(costs[d] for d in costs if d >= full) / full, -c, times))
+                    _, capacity, count = min(tried)
+                    capacity = -capacity
+                group = Bins(made, count, capacity, capacity)
                 made += group.count
             each = group.room // size
             full = min(group.count, left // each)
@@ -89,6 +132,7 @@ def best_fit(counts: Mapping[int, int], costs: Mapping[int, float]) -> tuple[lis
                 rest, full, left = rest - 1, full + 1, 0
             if rest:
                 put(Bins(group.first + full, rest, group.capacity, group.room))
+        ahead[size] = 0
     final = []
     for groups in by_room.values():
         for g in groups:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm.bpe import token_ids
-from loomtext.llm.canonical import canonical_texts, look_alike_pairs
+from loomtext.llm.canonical import canonical_texts, look_alike_classes, look_alike_pairs
 from loomtext.llm.entities import linked_records, record_pairs
 from loomtext.llm.packing import pack
 from loomtext.llm.pieces import pieces
@@ -21,16 +21,27 @@ LLM = Registry()
 REQUEST, REPEATED = 1000, 100
 
 
-@LLM.add("p1_found")
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of entries of a book, and of chunks of a session, that look the same but are different strings."""
+def _shown(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries by book and chunks by session."""
     entries = table(spark, folder, "entries").select(
         F.lit("entries").alias("tab"), F.col("book_id").alias("scope"), F.col("entry_id").alias("id"), "text"
     )
     chunks = table(spark, folder, "host_trace").select(
         F.lit("host_trace").alias("tab"), F.col("session_id").alias("scope"), F.col("chunk_id").alias("id"), "text"
     )
-    return look_alike_pairs(entries.unionByName(chunks), ["tab", "scope"], "id", "text").select("tab", "id_a", "id_b")
+    return entries.unionByName(chunks)
+
+
+@LLM.add("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entries of a book, and of chunks of a session, that look the same but are different strings."""
+    return look_alike_pairs(_shown(spark, folder), ["tab", "scope"], "id", "text").select("tab", "id_a", "id_b")
+
+
+@LLM.add("p1_classes")
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every entry and chunk with words: the least id of those that look the same."""
+    return look_alike_classes(_shown(spark, folder), ["tab", "scope"], "id", "text").select("tab", "id", "class")
 
 
 @LLM.add("p1_texts")

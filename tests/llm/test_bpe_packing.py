@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomtext.llm.bpe import encoder, slices, token_ids, vocabulary_path
-from loomtext.llm.packing import best_fit, pack, placements
+from loomtext.llm.packing import best_fit, pack, placements, total_cost
 
 P = pytest.importorskip("public_tokenizers")
 ODD = [None, "", " ", "<|endoftext|>", "aaaaaaaaaaaaa", "don't 123  \n\n x", "日本語のテキスト" * 300, "é" * 50, "\x00\x01", "👩‍👩‍👧"]
@@ -85,3 +85,23 @@ def test_pack(spark):
     assert items[10] == wanted[10] and items[33] == wanted[33] and items[100] == wanted[100] + 2 * wanted[250]
     assert all(100 - load[r.container] == r.room >= 0 for r in got)
     assert pack(spark.createDataFrame([], "doc_id bigint, n int"), "doc_id", "n").count() == 0
+
+
+@pytest.mark.parametrize(
+    "counts,costs,most",
+    [
+        ({700: 10}, {700: 700, 2048: 2048}, 7000),
+        ({500: 3}, {512: 512, 1024: 1024, 2048: 2048}, 1536),
+        ({512: 4}, {512: 600, 2048: 2048}, 2048),
+        ({1000: 1, 24: 1}, {512: 512, 1024: 1024, 2048: 2048}, 1024),
+    ],
+)
+def test_capacities_are_weighed_jointly(counts, costs, most):
+    assert total_cost(best_fit(counts, costs)[1], costs) <= most
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=12), st.permutations([64, 32, 24]))
+def test_joint_plan_is_no_dearer_than_one_capacity(counts, capacities):
+    costs = {c: c for c in capacities}
+    assert total_cost(best_fit(counts, costs)[1], costs) <= total_cost(best_fit(counts, {64: 64})[1], costs)
