@@ -8,30 +8,6 @@ from functools import lru_cache
 
 import regex
 
-# Short forms and spelling variants of given names, by the usual full form.
-GIVEN = {
-    "robert": "bob bobby rob robbie bert bebert robin", "william": "bill billy will willy wm liam", "richard": "dick rick rich richie",
-    "charles": "charlie chas chuck carl", "stephen": "steve steven stevie", "thaddeus": "thad tad thady", "augustus": "gus august augie",
-    "geoffrey": "geoff jeffrey jeff jeffery", "jonathan": "jon johnny johnathan jonny nathan", "john": "jack johnnie",
-    "nicholas": "nick nicky nich nicolas nico klaus", "francis": "frank frankie", "frances": "fanny fran francie", "harriet": "hattie harriett harry",
-    "philippa": "pip pippa phillipa", "katherine": "kate katie kathy catherine kathryn kitty katharine kit", "isabella": "bella izzy isabel isabelle",
-    "margaret": "maggie peggy meg margery madge", "elizabeth": "liz lizzie beth betty eliza bess elisabeth lisa", "dorothea": "dora dot dorothia dorothy thea dolly dottie",
-    "louisa": "lou luisa louise lulu", "zoe": "zo", "edward": "ed eddie ned ted", "henry": "harry hank hal", "james": "jim jimmy jamie", "joseph": "joe joey",
-    "michael": "mike mick mickey", "thomas": "tom tommy", "matthew": "matt", "samuel": "sam sammy", "benjamin": "ben benny", "daniel": "dan danny",
-    "andrew": "andy drew", "anthony": "tony", "alexander": "alex sandy alec", "george": "georgie", "mary": "molly polly mae", "ann": "anna anne annie nan nancy",
-    "susan": "sue susie susanna", "sarah": "sally sadie", "jane": "jenny janie", "eleanor": "nell nellie ellie nora", "victoria": "vicky tori", "abigail": "abby",
-    "gertrud": "trude gertrude gerti traudl", "wilhelmine": "minna mina helmine wilhelmina", "johannes": "hannes hans johann jo", "sebastian": "seb bastian basti",
-    "friederike": "rike fritzi frederike", "friedrich": "fritz fred frieder", "maximilian": "max maxi", "leopold": "poldi leo", "ottilie": "otti tilly",
-    "kathe": "kate kaethe katharina", "jurgen": "juergen", "heinrich": "heinz heiner", "wolfgang": "wolf", "josef": "sepp jupp",
-    "marguerite": "margot", "genevieve": "ginette viviane", "hippolyte": "polyte", "theodore": "theo ted", "etienne": "tiennot tienno", "bertrand": "bert bebert", "clemence": "clem",
-    "josephine": "josette fifine jo josie", "anaelle": "ana nanou", "francois": "fanfan francis fanch", "francoise": "fanfan fanchon soizic", "jacques": "jacquot", "pierre": "pierrot", "louis": "loulou", "albert": "bebert al", "jose": "pepe", "francisco": "paco pancho curro", "mercedes": "merche", "concepcion": "concha conchita",
-    "dolores": "lola", "rosario": "charo", "ignacio": "nacho", "eduardo": "edu lalo", "gregorio": "goyo greg", "begona": "bego", "guadalupe": "lupe", "manuel": "manolo",
-    "ekaterina": "katya yekaterina katerina katia", "grigorii": "grisha grigory grigoriy grigori", "nataliya": "natasha natalya natalia natalja", "pelageya": "polya pelagea pelagia",
-    "dmitrii": "mitya dima dmitry dmitriy dmitri", "aleksandr": "sasha shura alexander aleksander", "mikhail": "misha", "olga": "olya", "ivan": "vanya", "mariya": "masha maria",
-    "petr": "petya pyotr", "sergei": "seryozha sergey serezha", "anastasiya": "nastya anastasia", "vladimir": "volodya vova", "tatyana": "tanya tatiana", "nikolai": "kolya nikolay",
-    "konstantinos": "kostas", "georgios": "giorgos", "dimitrios": "dimitris mitsos", "eleni": "lena", "ioannis": "yannis giannis",
-}
-
 # Words that are no part of a person's own name.
 TITLES = {
     "mr": "m", "mister": "m", "sir": "m", "lord": "m", "herr": "m", "hr": "m", "monsieur": "m", "don": "m", "senor": "m", "uncle": "m", "father": "m", "gospodin": "m", "g-n": "m",
@@ -54,15 +30,9 @@ GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d
 _KEPT_CAMEL = ("Mac", "Mc", "De", "Le", "La", "Du", "Van", "Von", "Di", "Fitz", "O’", "O'")
 _PARTICLES = set("von van de der den del della di da dos du la le ben bin ibn al el af av zu zum ter ten".split())
 
-_FULL_OF: dict[str, set[str]] = {}
-for _full, _short in GIVEN.items():
-    for _form in (_full, *_short.split()):
-        _FULL_OF.setdefault(_form, set()).add(_full)
-
-
 @dataclass(frozen=True)
 class Person:
-    """A person's name; ``given`` may be one letter, either part may be missing."""
+    """A person's name; ``given`` may be one letter, or missing: a lone word, of which nothing says whether it is a given or a family name, is in ``family``."""
 
     given: str
     family: str
@@ -91,11 +61,6 @@ def _plain(text: str) -> str:
     return "".join(out).replace("ß", "ss").replace("ø", "o").replace("ł", "l")
 
 
-def full_forms(given: str) -> frozenset[str]:
-    """The full given names that ``given`` may stand for; empty if it is in no list."""
-    return frozenset(_FULL_OF.get(given, ()))
-
-
 @lru_cache(maxsize=100_000)
 def parse(name: str | None) -> tuple[Person | Firm | None, str]:
     """A typed name and the gender (``m``, ``f`` or nothing) that a title or a pronoun gives away; no name for roles, families and pronouns."""
@@ -162,9 +127,8 @@ def parse(name: str | None) -> tuple[Person | Firm | None, str]:
     if len(kept) > 1:
         family, given = kept[0], kept[1]
         order = [*given, *family]
-        titled = False
     else:
-        order, titled = kept[0], gender != "" or words[0] in TITLES
+        order = kept[0]
     initials = [t for t in order if len(t.rstrip(".")) == 1]
     full = [t for t in order if len(t.rstrip(".")) > 1]
     if not full:
@@ -173,9 +137,7 @@ def parse(name: str | None) -> tuple[Person | Firm | None, str]:
         one = full[0].rstrip(".")
         if initials:
             return Person(initials[0].rstrip("."), one, generation), gender
-        if (titled or generation) and not full_forms(one):
-            return Person("", one, generation), gender
-        return (Person(one, "", generation) if full_forms(one) else Person("", one, generation)), gender
+        return Person("", one, generation), gender
     given = full[0].rstrip(".")
     rest = [t.rstrip(".") for t in full[1:]]
     cut = next((i for i, t in enumerate(rest) if t in _PARTICLES), len(rest) - 1)
@@ -185,88 +147,3 @@ def parse(name: str | None) -> tuple[Person | Firm | None, str]:
         family = full[-1].rstrip(".")
         # "J. Thomas Hardy": the initial and the second given name; the family name is the last word.
     return Person(given, family, generation), gender
-
-
-def grams(word: str, field: str) -> list[str]:
-    """Character two- and three-grams of a word with its ends marked."""
-    marked = f"^{word}$"
-    return [f"{field}{marked[i : i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)]
-
-
-def typos(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours from ``a`` to ``b``; ``most + 1`` if more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = [0] * (len(b) + 1), list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return last[-1]
-
-
-@lru_cache(maxsize=200_000)
-def word_likeness(a: str, b: str) -> float:
-    """How likely two words are spellings of one name: 1 if equal, less for each typo, 0 beyond what their length allows."""
-    if a == b:
-        return 1.0
-    shorter = min(len(a), len(b))
-    if shorter == 3:
-        return 0.9 if len(a) != len(b) and typos(a, b, 1) == 1 else 0.0
-    most = 0 if shorter < 4 else 1 if shorter < 6 else 2 if shorter < 9 else 3
-    n = typos(a, b, most)
-    return 0.0 if n > most else 1.0 - 0.08 * n - (0.04 if n == 3 else 0)
-
-
-def shortened(short: str, long: str) -> bool:
-    """Whether ``short`` is a written abbreviation of ``long``: its first letters, or some of its letters with the first and the last."""
-    if not 2 <= len(short) <= 5 or len(long) - len(short) < 2 or short[0] != long[0]:
-        return False
-    if long.startswith(short):
-        return True
-    rest = iter(long)
-    return short[-1] == long[-1] and all(c in rest for c in short)
-
-
-@lru_cache(maxsize=200_000)
-def given_likeness(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if len(a) == 1 or len(b) == 1:
-        first = {a[0], b[0]} | {f[0] for f in full_forms(a) | full_forms(b)} if len(a) != len(b) else {a, b}
-        one, other = (a, b) if len(a) == 1 else (b, a)
-        starts = {other[0]} | {f[0] for f in full_forms(other)}
-        return 0.7 if one in starts and first else 0.0
-    fa, fb = full_forms(a), full_forms(b)
-    if fa and fb:
-        return 0.97 if fa & fb else 0.0
-    short, long = sorted((a, b), key=len)
-    if any(shortened(short, f) for f in {long} | full_forms(long)):
-        return 0.85
-    best = word_likeness(a, b)
-    # A misspelt form of a listed name, or of one of its short forms.
-    for known, other in ((fa, b), (fb, a)):
-        for f in known:
-            best = max(best, 0.97 * word_likeness(f, other), *(0.95 * word_likeness(s, other) for s in GIVEN[f].split()))
-    return best
-
-
-def firm_likeness(a: Firm, b: Firm) -> float:
-    """All words of the firm with fewer own words must stand, in the same order, in the other."""
-    short, long = sorted((a.own, b.own), key=len)
-    scores, at = [], 0
-    for w in short:
-        hit = max(((word_likeness(w, x), -i) for i, x in enumerate(long) if i >= at), default=(0.0, 0))
-        if hit[0] == 0.0:
-            return 0.0
-        scores.append(hit[0])
-        at = -hit[1] + 1
-    if len(short) < 2 and len(long) > 1 and len(long) - len(short) > 1:
-        return 0.0
-    return min(scores)
