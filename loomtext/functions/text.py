@@ -79,6 +79,12 @@ def compatible(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if k < 0 else forms[k] for k in codes])
 
 
+def full_form(c: Column) -> Column:
+    """The normal form with the compatibility step; texts of ASCII alone do not leave the JVM for it."""
+    ascii_only = c.rlike(r"\A\p{ASCII}*\z")
+    return normal_form(F.coalesce(compatible(F.when(~ascii_only, c)), c))
+
+
 def openings(normal: Column, most: int = HEAD_WORDS) -> Column:
     """The openings of one to ``most`` words of a text in normal form."""
     return let(F.split(normal, " "), lambda words: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words))), lambda n: F.array_join(F.slice(words, 1, n), " ")))

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from loomtext.session import spread
 
-#: A line break inside a field would end the row for the CSV reader; these noncharacters of Unicode,
-#: reserved for internal use, stand for it while the reader runs.
-_BREAKS = str.maketrans({"\n": "﷐", "\r": "﷑"})
-_BREAKS_BACK = str.maketrans({"﷐": "\n", "﷑": "\r"})
+
+
+def _stand_ins(text: str) -> tuple[str, str]:
+    """Two characters that do not occur in ``text``, to stand for line breaks inside a field, which would end the row for the CSV reader."""
+    used = set(text)
+    free = (c for c in map(chr, (*range(0xFDD0, 0xFDF0), *range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE))) if c not in used)
+    return next(free), next(free)
 
 #: Where every quote of a line stands as it must: a field that begins with one ends with one.
 _QUOTED_LINE = re.compile(r'(?:"[^"]*(?:""[^"]*)*"|[^",]*)(?:,(?:"[^"]*(?:""[^"]*)*"|[^",]*))*')
@@ -107,7 +110,8 @@ def _parse(lines: pd.Series, layout: Layout) -> pd.DataFrame:
         rows = rows[~wrong]
     if rows.empty:
         return out
-    flat = rows.str.translate(_BREAKS)
+    feed, back = _stand_ins("".join(rows))
+    flat = rows.str.translate({10: feed, 13: back})
     rejected: list[int] = []
 
     def on_invalid(row: pacsv.InvalidRow) -> str:
@@ -137,7 +141,7 @@ def _parse(lines: pd.Series, layout: Layout) -> pd.DataFrame:
     cells.index = rows.index[cells.pop("#").astype(int)]
     fails = pd.DataFrame(index=cells.index)
     for name, _, valid in layout.fields:
-        cells[name] = cells[name].str.translate(_BREAKS_BACK)
+        cells[name] = cells[name].str.translate({ord(feed): "\n", ord(back): "\r"})
         fails[name] = False if valid is None else ~valid(cells[name]).astype(bool)
     for name, _, _ in layout.fields:
         if name not in layout.kept:

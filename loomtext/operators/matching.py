@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import HEAD_WORDS, STRIPPED, index_sentences, let, normal_form, openings
+from loomtext.functions.text import HEAD_WORDS, STRIPPED, full_form, index_sentences, let, openings
 from loomtext.operators.ordered import last_known, running_sum
 
 WINDOW = 5
@@ -78,8 +78,8 @@ def relocate(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     """The first entry of the chunk's book that the chunk begins, equals or goes beyond, word by word.
 
     ``chunks``: ``chunk_id``, ``book_id``, ``form``; ``entries``: ``book_id``, ``seq``, ``form``, both in normal form. Equal
-    texts of a book are looked up once. Texts meet through an opening that one of them has no longer one of, so frequent
-    first words bring nothing together that the check of the rest would not keep or that six words have in common.
+    texts of a book are looked up once. Texts meet through the longest opening (of up to six words) of one of them,
+    so frequent first words bring together only texts that are no longer than them.
     """
     wanted = chunks.select("book_id", "form").where("form <> '' AND book_id IS NOT NULL").distinct()
     held = entries.where("form <> ''").groupBy("book_id", "form").agg(F.min("seq").alias("seq"))
@@ -91,9 +91,13 @@ def _met(wanted: DataFrame, held: DataFrame, keys: Sequence[str], keep: Sequence
     """Forms ``asked`` and ``held`` of equal ``keys`` of which one begins, equals or goes beyond the other, word by word."""
     a = _opened(wanted, keys).withColumnsRenamed({"form": "asked", "whole": "all_asked"})
     b = _opened(held, [*keys, *keep]).withColumnsRenamed({"form": "held", "whole": "all_held"})
-    ends = F.col("all_asked") | F.col("all_held")
     fits = F.startswith(F.concat("held", F.lit(" ")), F.concat("asked", F.lit(" "))) | F.startswith(F.concat("asked", F.lit(" ")), F.concat("held", F.lit(" ")))
-    return a.join(b, [*keys, "opening"]).where(ends & fits)
+    return _joined_at_ends(a, b, [*keys, "opening"], F.col("all_asked")).where(fits)
+
+
+def _joined_at_ends(a: DataFrame, b: DataFrame, keys: Sequence[str], ending: Column) -> DataFrame:
+    """Openings of ``a`` and ``b`` of which one is an end: two joins, each with the ends alone on one side."""
+    return a.where(ending).join(b, [*keys]).unionByName(a.where(~ending).join(b.where("all_held"), [*keys]))
 
 
 def found_in(forms: DataFrame, entries: DataFrame) -> DataFrame:
@@ -256,8 +260,8 @@ def follow(chunks: DataFrame, entries: DataFrame, window: int = WINDOW) -> DataF
     session gets the entries that one of its chunks can begin at, and as many after each as its chunks, read on from there, can
     go through: an entry for each word of a chunk, or the window where that is more. That is all that its cursor can ever reach.
     """
-    asked = chunks.where("book_id IS NOT NULL AND text IS NOT NULL").withColumn("form", normal_form(F.col("text"))).where("form <> ''")
-    held = entries.withColumn("form", normal_form(F.col("text"))).where("form <> ''")
+    asked = chunks.where("book_id IS NOT NULL AND text IS NOT NULL").withColumn("form", full_form(F.col("text"))).where("form <> ''")
+    held = entries.withColumn("form", full_form(F.col("text"))).where("form <> ''")
     wanted = asked.select("session_id", "book_id", "form").distinct()
     forms = wanted.select("book_id", "form").distinct()
     a = _opened(forms, ["book_id"]).withColumnsRenamed({"form": "asked", "whole": "all_asked"})
@@ -265,8 +269,8 @@ def follow(chunks: DataFrame, entries: DataFrame, window: int = WINDOW) -> DataF
     # A short chunk that ends inside a word shares all words but that one, and begins the next.
     most = F.size(F.split("asked", " "))
     cut = (most <= HEAD_WORDS) & (F.size(F.split("opening", " ")) == most - 1)
-    fits = (F.col("all_asked") | F.col("all_held") | cut) & (F.startswith("held", F.col("asked")) | F.startswith(F.concat("asked", F.lit(" ")), F.concat("held", F.lit(" "))))
-    places = a.join(b, ["book_id", "opening"]).where(fits).select("book_id", F.col("asked").alias("form"), "seq").distinct()
+    fits = F.startswith("held", F.col("asked")) | F.startswith(F.concat("asked", F.lit(" ")), F.concat("held", F.lit(" ")))
+    places = _joined_at_ends(a, b, ["book_id", "opening"], F.col("all_asked") | cut).where(fits).select("book_id", F.col("asked").alias("form"), "seq").distinct()
     starts = wanted.join(places, ["book_id", "form"]).select("session_id", "book_id", "seq").distinct()
     # Any chunk may be read on from where the last one ended, whether or not it could begin elsewhere.
     far = asked.groupBy("session_id", "book_id").agg(F.sum(F.greatest(F.size(F.split("form", " ")), F.lit(window))).alias("far"))

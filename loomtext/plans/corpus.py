@@ -104,8 +104,9 @@ def enrichment_fold(spark: SparkSession, folder: str) -> DataFrame:
 @CORPUS.add(
     "canonical_id_join",
     f"""WITH {_ALIASES}, e AS (SELECT book_id, lower(name) AS known, min(char_id) AS id FROM al WHERE name <> '' GROUP BY ALL),
-    s AS (SELECT DISTINCT book_id, lower(speaker) AS said FROM (SELECT book_id, unnest(cast_names) AS speaker FROM documents WHERE book_id IS NOT NULL) WHERE speaker IS NOT NULL AND speaker <> '')
-    SELECT s.book_id, said, arg_max(id, (length(known), known)) AS id FROM s JOIN e ON s.book_id = e.book_id AND suffix(said, known) GROUP BY ALL""",
+    s AS (SELECT DISTINCT book_id, lower(speaker) AS said FROM (SELECT book_id, unnest(cast_names) AS speaker FROM documents WHERE book_id IS NOT NULL) WHERE speaker IS NOT NULL AND speaker <> ''),
+    one AS (SELECT s.book_id, said, arg_max(id, (length(known), known)) AS id FROM s JOIN e ON s.book_id = e.book_id AND suffix(said, known) GROUP BY ALL)
+    SELECT * FROM one UNION ALL SELECT s.book_id, said, arg_max(id, (length(known), known)) AS id FROM s ANTI JOIN one USING (book_id, said) JOIN e ON s.book_id = e.book_id AND suffix(known, said) GROUP BY ALL""",
 )
 def canonical_id_join(spark: SparkSession, folder: str) -> DataFrame:
     """Names of documents with their character: the one of that name, else of the longest name they end with, else of the longest name that ends with them."""
@@ -233,12 +234,14 @@ def _words(c: Column) -> Column:
 
 @CORPUS.add(
     "alias_mentions",
-    f"""WITH n AS (SELECT DISTINCT book_id, name FROM (SELECT book_id, lower(display_name) AS name FROM manifest_characters) WHERE name IS NOT NULL AND regexp_full_match(name, '[\\pL\\p{{Nd}}]+( [\\pL\\p{{Nd}}]+)?')), {S.PARAGRAPHS},
-    w AS (SELECT book_id, seq, regexp_extract_all(lower(text), '([\\pL\\p{{Nd}}]+)', 1) AS w FROM para), p AS (SELECT book_id, seq, i, w FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM w)),
-    g AS (SELECT book_id, seq, i, 2 AS k, w[i] || ' ' || w[i + 1] AS name FROM p WHERE i < len(w) UNION ALL SELECT book_id, seq, i, 1, w[i] FROM p),
-    h AS (SELECT g.* FROM g JOIN n USING (book_id, name)),
-    z AS (SELECT h.*, exists(SELECT 1 FROM h b WHERE b.book_id = h.book_id AND b.seq = h.seq AND b.k = 2 AND h.k = 1 AND h.i IN (b.i, b.i + 1)) AS inside FROM h)
-    SELECT book_id, name, count(*) AS mentions FROM z WHERE NOT inside GROUP BY ALL""",
+    f"""WITH {_ALIASES}, n AS (SELECT DISTINCT book_id, array_to_string(regexp_extract_all(lower(name), '([\\pL\\p{{Nd}}]+)', 1), ' ') AS name FROM al WHERE name IS NOT NULL),
+    ks AS (SELECT DISTINCT book_id, len(string_split(name, ' ')) AS k FROM n WHERE name <> ''), {S.PARAGRAPHS},
+    w AS (SELECT book_id, seq, regexp_extract_all(lower(text), '([\\pL\\p{{Nd}}]+)', 1) AS w FROM para),
+    g AS (SELECT book_id, seq, k, i, array_to_string(w[i:i + k - 1], ' ') AS name FROM (SELECT w.*, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM w JOIN ks USING (book_id) WHERE len(w) >= k)),
+    m AS (SELECT book_id, seq, list({{'k': k, 'i': i, 'name': name, 'taken': []::BIGINT[], 'kept': []::VARCHAR[]}} ORDER BY k DESC, i) AS m FROM g JOIN n USING (book_id, name) GROUP BY ALL),
+    r AS (SELECT book_id, list_reduce(list_prepend({{'k': 0::BIGINT, 'i': 0::BIGINT, 'name': '', 'taken': []::BIGINT[], 'kept': []::VARCHAR[]}}, m), lambda s, x: CASE WHEN list_has_any(s.taken, range(x.i, x.i + x.k)) THEN s
+      ELSE {{'k': x.k, 'i': x.i, 'name': x.name, 'taken': list_concat(s.taken, range(x.i, x.i + x.k)), 'kept': list_append(s.kept, x.name)}} END).kept AS kept FROM m)
+    SELECT book_id, name, count(*) AS mentions FROM (SELECT book_id, unnest(kept) AS name FROM r) GROUP BY ALL""",
 )
 def alias_mentions(spark: SparkSession, folder: str) -> DataFrame:
     """How often each name or alias is mentioned in its book, by its words in lower case; longer mentions come first, and no word counts twice."""
@@ -284,7 +287,7 @@ def names_in_documents(spark: SparkSession, folder: str) -> DataFrame:
 @CORPUS.add(
     "reference_chains",
     """WITH RECURSIVE q AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey // 2 END AS up FROM orders),
-    c AS (SELECT id, up AS pos, 0 AS steps FROM q UNION ALL SELECT c.id, q.up, c.steps + 1 FROM c JOIN q ON c.pos = q.id WHERE c.steps < 12 AND q.up IS NOT NULL)
+    c AS (SELECT id, up AS pos, 0 AS steps FROM q UNION ALL SELECT c.id, q.up, c.steps + 1 FROM c JOIN q ON c.pos = q.id WHERE q.up IS NOT NULL)
     SELECT id, max(steps)::INT AS steps, arg_max(pos, steps)::BIGINT AS root FROM c GROUP BY 1""",
 )
 def reference_chains(spark: SparkSession, folder: str) -> DataFrame:

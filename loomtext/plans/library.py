@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import normal_form
+from loomtext.functions.text import full_form
 from loomtext.operators import matching as M
 from loomtext.operators.attribution import by_rules
 from loomtext.operators.ordered import running_max, running_sum
@@ -59,8 +59,8 @@ def dense_entries(spark: SparkSession, folder: str) -> DataFrame:
     return running_sum(_paragraphs(spark, folder), ["book_id"], "seq", F.lit(1), "place").select("book_id", "seq", (F.col("place") - 1).alias("place"))
 
 
-_FORMS = f"""{S.PARAGRAPHS}, held AS (SELECT book_id, seq, {S.normal_form('text')} AS form FROM para),
-asked AS (SELECT chunk_id, session_id, utterance, book_id, {S.normal_form('text')} AS form FROM host_trace WHERE text IS NOT NULL AND book_id IS NOT NULL)"""
+_FORMS = f"""{S.PARAGRAPHS}, held AS (SELECT book_id, seq, {S.full_form('text')} AS form FROM para),
+asked AS (SELECT chunk_id, session_id, utterance, book_id, {S.full_form('text')} AS form FROM host_trace WHERE text IS NOT NULL AND book_id IS NOT NULL)"""
 
 
 @LIBRARY.add(
@@ -71,8 +71,8 @@ asked AS (SELECT chunk_id, session_id, utterance, book_id, {S.normal_form('text'
 )
 def relocate_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The first entry of the book that each chunk can lie at."""
-    chunks = table(spark, folder, "host_trace").where("text IS NOT NULL AND book_id IS NOT NULL").select("chunk_id", "book_id", normal_form(F.col("text")).alias("form"))
-    held = _paragraphs(spark, folder).select("book_id", "seq", normal_form(F.col("text")).alias("form"))
+    chunks = table(spark, folder, "host_trace").where("text IS NOT NULL AND book_id IS NOT NULL").select("chunk_id", "book_id", full_form(F.col("text")).alias("form"))
+    held = _paragraphs(spark, folder).select("book_id", "seq", full_form(F.col("text")).alias("form"))
     return M.relocate(chunks, held)
 
 
@@ -83,30 +83,32 @@ def match_cursor(spark: SparkSession, folder: str) -> DataFrame:
     return M.follow(chunks, _paragraphs(spark, folder).select("book_id", "seq", "text"))
 
 
-_HITS = f"""{_FORMS},
-d AS (SELECT DISTINCT book_id, form FROM asked WHERE form <> ''),
-f AS (SELECT d.book_id, d.form FROM d SEMI JOIN held h ON d.book_id = h.book_id AND h.form <> '' AND (starts_with(h.form || ' ', d.form || ' ') OR starts_with(d.form || ' ', h.form || ' '))),
-hits AS (SELECT session_id, book_id, utterance, max((f.form IS NOT NULL)::INT) = 1 AS hit FROM asked LEFT JOIN f USING (book_id, form) GROUP BY ALL)"""
+_HITS = f"""{S.PARAGRAPHS}, held AS (SELECT book_id, seq, {S.full_form('text')} AS form FROM para),
+said AS (SELECT DISTINCT session_id, utterance, {S.full_form('text')} AS form FROM host_trace WHERE text IS NOT NULL),
+asked_at AS (SELECT form, array_to_string(w[1:k], ' ') AS o FROM (SELECT form, w, unnest(generate_series(1, least(6, len(w)))) AS k FROM (SELECT DISTINCT form, string_split(form, ' ') AS w FROM said WHERE form <> ''))),
+held_at AS (SELECT form, array_to_string(w[1:k], ' ') AS o FROM (SELECT form, w, unnest(generate_series(1, least(6, len(w)))) AS k FROM (SELECT DISTINCT form, string_split(form, ' ') AS w FROM held WHERE form <> ''))),
+met AS (SELECT DISTINCT a.form AS asked, h.form AS held FROM asked_at a JOIN held_at h USING (o)
+  WHERE starts_with(h.form || ' ', a.form || ' ') OR starts_with(a.form || ' ', h.form || ' ')),
+found AS (SELECT DISTINCT asked AS form, book_id, indexed_at FROM met JOIN held ON held.form = met.held JOIN books USING (book_id))"""
 
 
 @LIBRARY.add(
     "identify_lock",
-    f"""WITH {_HITS}, n AS (SELECT *, row_number() OVER w AS k FROM hits WINDOW w AS (PARTITION BY session_id, book_id ORDER BY utterance)),
-    m AS (SELECT *, k - coalesce(max(CASE WHEN NOT hit THEN k END) OVER (PARTITION BY session_id, book_id ORDER BY utterance), 0) AS streak FROM n),
-    l AS (SELECT session_id, book_id, min(utterance) AS locked_at FROM m WHERE hit AND streak >= 3 GROUP BY ALL),
-    r AS (SELECT l.*, indexed_at FROM l JOIN books USING (book_id))
-    SELECT session_id, arg_min(book_id, (locked_at, -indexed_at)) AS book_id, min(locked_at) AS locked_at FROM r GROUP BY 1""",
+    f"""WITH {_HITS}, u AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY utterance) AS i FROM said WHERE session_id IS NOT NULL AND utterance IS NOT NULL),
+    h AS (SELECT DISTINCT session_id, utterance, i, book_id, indexed_at FROM u JOIN found USING (form)),
+    r AS (SELECT a.* FROM h a JOIN h b ON a.session_id = b.session_id AND a.book_id = b.book_id AND b.i = a.i - 1 JOIN h c ON a.session_id = c.session_id AND a.book_id = c.book_id AND c.i = a.i - 2)
+    SELECT session_id, arg_min(book_id, (utterance, -indexed_at, book_id)) AS book_id, min(utterance) AS locked_at FROM r GROUP BY 1""",
 )
 def identify_lock(spark: SparkSession, folder: str) -> DataFrame:
     """The book that each session locks on to, of all books, and at which utterance; the newest book wins a tie."""
-    trace = table(spark, folder, "host_trace").where("text IS NOT NULL").select("session_id", "utterance", normal_form(F.col("text")).alias("form"))
+    trace = table(spark, folder, "host_trace").where("text IS NOT NULL").select("session_id", "utterance", full_form(F.col("text")).alias("form"))
     return M.first_locks(trace, checkpointed(chunk_books(spark, folder)), table(spark, folder, "books"))
 
 
 def chunk_books(spark: SparkSession, folder: str) -> DataFrame:
     """``form``, ``book_id``: the normal form of every chunk, named book or not, with each book that it can lie in."""
-    forms = table(spark, folder, "host_trace").where("text IS NOT NULL").select(normal_form(F.col("text")).alias("form"))
-    return M.found_in(forms, _paragraphs(spark, folder).select("book_id", normal_form(F.col("text")).alias("form")))
+    forms = table(spark, folder, "host_trace").where("text IS NOT NULL").select(full_form(F.col("text")).alias("form"))
+    return M.found_in(forms, _paragraphs(spark, folder).select("book_id", full_form(F.col("text")).alias("form")))
 
 
 @LIBRARY.add(

@@ -287,7 +287,7 @@ def waveform_compare(spark: SparkSession, folder: str) -> DataFrame:
 
 @SOUND.add(
     "softmax_best",
-    f"WITH {_PCM} SELECT vec_id, (list_position(x[1:10], list_max(x[1:10])) - 1)::INT AS best, round(1 / list_sum(list_transform(x[1:10], lambda v: exp(v - list_max(x[1:10])))), 5) AS share FROM pcm",
+    f"WITH {_PCM} SELECT vec_id, (list_position(x, list_max(x)) - 1)::INT AS best, round(1 / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 5) AS share FROM pcm",
 )
 def softmax_best(spark: SparkSession, folder: str) -> DataFrame:
     """The best of each vector's scores and its share."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from loomtext.functions.names import (
     AFTER_NAME_VERB,
     AFTER_PRONOUN,
@@ -134,6 +137,30 @@ def normal_form(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace({lower}, '[^\\pL\\p{{Nd}}'' ]', '', 'g'), ' +', ' ', 'g'))"
 
 
+@lru_cache(maxsize=1)
+def _compatible() -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters of the Basic Multilingual Plane whose compatibility form is one other character, these, and Latin, Thai and Lao letters with a longer form."""
+    one, to, more = [], [], []
+    for c in map(chr, range(0xA0, 0xFFFE)):
+        if unicodedata.decomposition(c).startswith("<"):
+            form = unicodedata.normalize("NFKC", c)
+            if len(form) == 1:
+                one.append(c)
+                to.append(form)
+            elif unicodedata.name(c, "").startswith("LATIN SMALL LIGATURE") or "\u0e00" <= c < "\u0f00":
+                more.append((c, form))
+    return "".join(one), "".join(to), more
+
+
+def full_form(x: str) -> str:
+    """The normal form with the compatibility step: characters that stand for others, then composed."""
+    one, to, more = _compatible()
+    out = f"translate({x}, {text(one)}, {text(to)})"
+    for c, form in more:
+        out = f"replace({out}, {text(c)}, {text(form)})"
+    return normal_form(f"nfc_normalize({out})")
+
+
 def fnv64(x: str) -> str:
     """Over the code points of the Basic Multilingual Plane and the surrogate pairs of the rest."""
     units = f"""flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN c = '' THEN [] WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import normal_form
+from loomtext.functions.text import full_form
 from loomtext.operators.segments import paragraphs
 from loomtext.plans.library import chunk_books
 from loomtext.plans.registry import Registry
@@ -83,7 +83,7 @@ def stream_lock(spark: SparkSession, folder: str) -> DataFrame:
     newest = F.array_sort(F.collect_set(F.struct((-F.col("indexed_at")).alias("age"), "book_id")))
     held = chunk_books(spark, folder).join(table(spark, folder, "books").select("book_id", "indexed_at"), "book_id")
     found = checkpointed(held.groupBy("form").agg(F.transform(newest, lambda b: b["book_id"]).alias("books")))
-    rows = _stream(spark, folder, "host_trace").where("session_id IS NOT NULL AND utterance IS NOT NULL").withColumn("form", normal_form(F.col("text")))
+    rows = _stream(spark, folder, "host_trace").where("session_id IS NOT NULL AND utterance IS NOT NULL").withColumn("form", full_form(F.col("text")))
     hits = rows.join(found, "form", "left").select("session_id", F.col("utterance").cast("bigint").alias("at"), F.coalesce("books", F.array().cast("array<string>")).alias("books"))
     return R.drained(spark, R.lock_stream(hits))
 

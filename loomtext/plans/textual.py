@@ -48,32 +48,32 @@ def normalize_basic(spark: SparkSession, folder: str) -> DataFrame:
     return _entries(spark, folder).select("entry_id", T.normal_form(F.col("text")).alias("normalized"))
 
 
-@TEXTUAL.add("normalize_text")
+@TEXTUAL.add("normalize_text", f"SELECT entry_id, {S.full_form('text')} AS normalized FROM entries WHERE text IS NOT NULL")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     """The full normal form of every entry."""
-    return spread(_entries(spark, folder)).select("entry_id", T.normal_form(T.compatible("text")).alias("normalized"))
+    return spread(_entries(spark, folder)).select("entry_id", T.full_form(F.col("text")).alias("normalized"))
 
 
 @TEXTUAL.add(
     "normalized_sentences",
-    f"""SELECT entry_id, normalized FROM (SELECT entry_id, {S.normal_form('s')} AS normalized FROM
+    f"""SELECT entry_id, normalized FROM (SELECT entry_id, {S.full_form('s')} AS normalized FROM
     (SELECT entry_id, unnest({S.index_sentences('text')}) AS s FROM entries WHERE text IS NOT NULL)) WHERE normalized <> ''""",
 )
 def normalized_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Index sentences in normal form."""
     sentences = _entries(spark, folder).select("entry_id", F.explode(T.index_sentences(F.col("text"))).alias("s"))
-    return sentences.select("entry_id", T.normal_form(F.col("s")).alias("normalized")).where("normalized <> ''")
+    return sentences.select("entry_id", T.full_form(F.col("s")).alias("normalized")).where("normalized <> ''")
 
 
 @TEXTUAL.add(
     "prefix_hash",
-    f"""WITH {S.PARAGRAPHS}, w AS (SELECT book_id, seq, string_split({S.normal_form('text')}, ' ') AS w FROM para),
+    f"""WITH {S.PARAGRAPHS}, w AS (SELECT book_id, seq, string_split({S.full_form('text')}, ' ') AS w FROM para),
     p AS (SELECT DISTINCT book_id, seq, array_to_string(w[1:k], ' ') AS p FROM (SELECT *, unnest(generate_series(1, least(6, len(w)))) AS k FROM w))
     SELECT DISTINCT book_id, {S.fnv64('p')} AS prefix_hash, seq FROM p""",
 )
 def prefix_hash(spark: SparkSession, folder: str) -> DataFrame:
     """The index table of openings: hashes of the first one to six words of each sentence."""
-    openings = paragraphs(table(spark, folder, "entries")).select("book_id", "seq", F.explode(T.openings(T.normal_form(F.col("text")))).alias("p"))
+    openings = paragraphs(table(spark, folder, "entries")).select("book_id", "seq", F.explode(T.openings(T.full_form(F.col("text")))).alias("p"))
     return openings.select("book_id", T.fnv64(F.col("p")).alias("prefix_hash"), "seq").distinct()
 
 
@@ -252,7 +252,7 @@ def json_strings(spark: SparkSession, folder: str) -> DataFrame:
 @TEXTUAL.add(
     "lengthened_openers",
     f"""WITH {S.PARAGRAPHS}, w AS (SELECT book_id, seq, string_split({S.normal_form('text')}, ' ') AS w FROM para),
-    p AS (SELECT book_id, seq, k, array_to_string(w[1:k], ' ') AS p FROM (SELECT *, unnest(generate_series(1, least(6, len(w)))) AS k FROM w)),
+    p AS (SELECT book_id, seq, k, array_to_string(w[1:k], ' ') AS p FROM (SELECT *, unnest(generate_series(1, len(w))) AS k FROM w)),
     c AS (SELECT *, count(*) OVER (PARTITION BY book_id, p) AS c FROM p)
     SELECT book_id, seq, min(k)::INT AS words FROM c WHERE c = 1 GROUP BY book_id, seq""",
 )

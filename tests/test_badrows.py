@@ -57,6 +57,12 @@ def test_trace(spark):
     assert {r.line_id: r.utterance for r in rows}[9] is None
 
 
+def test_any_character_comes_through(spark):
+    odd = "a\ufdd0b\ufdd1\ue000c"
+    row = loaded(parse_lines(lines(spark, [f'{BOOK},1,1,NARRATION,,1,"{odd}\nd"', f"{BOOK},1,1,NARRATION,,1,{odd}"]), SPEAKER_LABELS), SPEAKER_LABELS).collect()
+    assert [r.sentence for r in sorted(row)] == [odd + "\nd", odd]
+
+
 def test_long_text_and_empty_table(spark):
     long = f"{BOOK},1,1,NARRATION,,1," + "x" * 3_000_000
     assert reasons(spark, SPEAKER_LABELS, [long, long]) == {0: None, 1: None}

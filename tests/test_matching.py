@@ -80,14 +80,14 @@ def test_relocate_against_brute_force(spark):
 
 def test_follow_is_the_cursor_over_the_whole_book(spark):
     rng = random.Random(8)
-    books = {b: [rng.choice(["Well,", "It was late.", "He left, then.", "No.", f"Line {i} of it."]) for i in range(40)] for b in "xy"}
+    books = {b: [rng.choice(["Well,", "It was late.", "He left, then.", "No.", f"Line {i} of it.", "A \ufb01ne \uff24ay.", "Hello world again."]) for i in range(40)] for b in "xy"}
     entries = [(b, i, t) for b, texts in books.items() for i, t in enumerate(texts)]
     chunks = []
     for session in range(4):
         b = rng.choice("xy")
         for u in range(12):
             i = rng.randrange(39)
-            t = rng.choice([books[b][i], books[b][i] + " " + books[b][i + 1], books[b][i][: rng.randint(1, 9)], "nowhere"])
+            t = rng.choice([books[b][i], books[b][i] + " " + books[b][i + 1], books[b][i][: rng.randint(1, 9)], "nowhere", "A fine Day.", "\uff28\uff45\uff4c\uff4c\uff4f world"])
             chunks.append((f"s{session}", b, session * 100 + u, u, t))
     got = follow(spark.createDataFrame(chunks, "session_id string, book_id string, chunk_id bigint, utterance int, text string"), spark.createDataFrame(entries, "book_id string, seq int, text string"))
     got = {r.chunk_id: (r.how, r.first_seq, r.last_seq, r.partial) for r in got.collect()}
