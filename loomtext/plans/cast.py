@@ -60,7 +60,7 @@ def scene_stats(spark: SparkSession, folder: str) -> DataFrame:
 def scene_budget_share(spark: SparkSession, folder: str) -> DataFrame:
     """The share of each book's scenes beyond 2,048 estimated tokens."""
     placed = with_scenes(_paragraphs(spark, folder))
-    tokens = placed.groupBy("book_id", "scene_start").agg(F.sum(estimated_tokens(F.col("text"))).alias("tokens"))
+    tokens = placed.groupBy("book_id", "scene_at").agg(F.sum(estimated_tokens(F.col("text"))).alias("tokens"))
     over = F.count_if(F.col("tokens") > 2048)
     return tokens.groupBy("book_id").agg(F.count("*").alias("scenes"), over.alias("over_budget"), F.round(over / F.count("*"), 6).alias("share"))
 
@@ -68,10 +68,10 @@ def scene_budget_share(spark: SparkSession, folder: str) -> DataFrame:
 @CAST.add("scenes_partition", f"WITH {_SCENED} SELECT s.book_id, p.seq, count(*) AS scenes FROM para p JOIN scene s ON s.book_id = p.book_id AND p.seq >= scene_start AND p.seq < scene_end GROUP BY ALL HAVING count(*) <> 1")
 def scenes_partition(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs that lie in no scene or in several: there are none."""
-    placed = with_scenes(_paragraphs(spark, folder))
-    ranges = scenes(_paragraphs(spark, folder))
+    paras = _paragraphs(spark, folder)
     return (
-        placed.join(ranges, ["book_id", "scene_start"], "left")
+        with_scenes(paras)
+        .join(scenes(paras), ["book_id", "scene_start"], "left")
         .groupBy("book_id", "seq")
         .agg(F.count_if((F.col("seq") >= F.col("scene_start")) & (F.col("seq") < F.col("scene_end"))).alias("scenes"))
         .where("scenes <> 1")
@@ -90,8 +90,10 @@ def chapter_reconstruct(spark: SparkSession, folder: str) -> DataFrame:
 
 def _talking(spark: SparkSession, folder: str) -> DataFrame:
     """Paragraphs in scenes with ``talks`` and ``speaker``, the last name tagged in it."""
-    talk = R.tagged(_segments(spark, folder)).groupBy("book_id", "seq").agg(F.lit(True).alias("talks"), F.max_by("tagged", F.when(F.col("tagged").isNotNull(), F.col("n"))).alias("speaker"))
-    return with_scenes(_paragraphs(spark, folder)).join(talk, ["book_id", "seq"], "left").withColumn("talks", F.coalesce("talks", F.lit(False)))
+    paras = _paragraphs(spark, folder)
+    talk = R.tagged(segments(paras)).groupBy("book_id", "seq").agg(F.lit(True).alias("talks"), F.max_by("tagged", F.when(F.col("tagged").isNotNull(), F.col("n"))).alias("speaker"))
+    # Joined before the scenes are laid out: both sides still lie as the paragraphs do.
+    return with_scenes(paras.join(talk, ["book_id", "seq"], "left").withColumn("talks", F.coalesce("talks", F.lit(False))))
 
 
 _TURNS = f"""{S.SEGMENTS.replace(S.PARAGRAPHS, _SCENED)},
@@ -109,9 +111,8 @@ def turn_boundaries_query(spark: SparkSession, folder: str) -> DataFrame:
 @CAST.add("scene_split")
 def scene_split(spark: SparkSession, folder: str) -> DataFrame:
     """Scenes cut to 2,048 estimated tokens."""
-    turned = turn_boundaries(_talking(spark, folder), F.col("talks"))
-    ends = scenes(_paragraphs(spark, folder)).select("book_id", "scene_start", "scene_end")
-    return split_scenes(turned.join(ends, ["book_id", "scene_start"]).withColumn("cost", estimated_tokens(F.col("text"))), 2048)
+    turned = turn_boundaries(_talking(spark, folder).withColumn("cost", estimated_tokens(F.col("text"))), F.col("talks"))
+    return split_scenes(turned, 2048)
 
 
 @CAST.add(
@@ -121,7 +122,7 @@ def scene_split(spark: SparkSession, folder: str) -> DataFrame:
 def scene_texts(spark: SparkSession, folder: str) -> DataFrame:
     """The text of every scene."""
     rows = F.sort_array(F.collect_list(F.struct("seq", "text")))
-    return with_scenes(_paragraphs(spark, folder)).groupBy("book_id", "scene_start").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("scene_text"))
+    return with_scenes(_paragraphs(spark, folder)).groupBy("book_id", "scene_at", "scene_start").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("scene_text")).drop("scene_at")
 
 
 _ROSTER = f"""{S.SEGMENTS},

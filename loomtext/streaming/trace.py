@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomtext.operators.matching import FORGET_AFTER, LOCK_AFTER
-from loomtext.operators.turns import TurnTaking
+from loomtext.operators.turns import Talk, step
 from loomtext.session import checkpointed
 
 
@@ -54,14 +54,16 @@ def turn_stream(lines: DataFrame, key: str = "session_id") -> DataFrame:
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        talk = TurnTaking()
+        talk = Talk()
         if state.exists:
-            last, other, heard, paragraph, silent, gap, waiting = json.loads(state.get[0])
-            talk.last, talk.other, talk.paragraph, talk.silent, talk.gap, talk.waiting = last, other, paragraph, silent, gap, waiting
-            talk.heard.extend(heard)
+            turns, *rest = json.loads(state.get[0])
+            talk = Talk(tuple(turns), *rest)
         rows = pd.concat(list(batches)).sort_values("at")
-        found = [talk.take(p, kind, None if pd.isna(s) else s) for p, kind, s in zip(rows["paragraph"].tolist(), rows["kind"], rows["speaker"])]
-        state.update((json.dumps([talk.last, talk.other, list(talk.heard), talk.paragraph, talk.silent, talk.gap, talk.waiting]),))
+        found = []
+        for p, kind, s in zip(rows["paragraph"].tolist(), rows["kind"], rows["speaker"]):
+            talk, answer = step(talk, (p, kind, None if pd.isna(s) else s))
+            found.append(answer)
+        state.update((json.dumps(talk),))
         yield pd.DataFrame(
             {
                 key: k[0],
