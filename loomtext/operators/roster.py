@@ -21,13 +21,24 @@ def tagged(segs: DataFrame) -> DataFrame:
     return segs.where("kind = 'DIALOGUE'").withColumn("tagged", tag_name(F.col("before"), F.col("after")))
 
 
-def quotations(segs: DataFrame) -> DataFrame:
-    """Each quotation's ``tagged`` name and, if it has none, the names ``near`` it: in the sentence before and after."""
+def read_once(segs: DataFrame) -> DataFrame:
+    """All that the cast is told by: of each quotation its ``tagged`` name and, if it has none, the names ``near`` it, in the sentence before and after; of narration the ``run``."""
+    said = F.col("kind") == "DIALOGUE"
     before = F.try_element_at(plain_sentences(without_quoted(F.col("before"))), F.lit(-1))
     after = F.try_element_at(plain_sentences(without_quoted(F.col("after"))), F.lit(1))
     none = F.array().cast("array<string>")
     near = F.concat(F.coalesce(names_in(before), none), F.coalesce(names_in(after), none))
-    return tagged(segs).select("book_id", "seq", "n", "tagged", F.when(F.col("tagged").isNull(), near).otherwise(none).alias("near"))
+    rows = segs.withColumn("tagged", F.when(said, tag_name(F.col("before"), F.col("after"))))
+    return rows.select("book_id", "seq", "n", "kind", F.when(~said, F.col("run")).alias("run"), "tagged", F.when(said & F.col("tagged").isNull(), near).otherwise(none).alias("near"))
+
+
+def quotations(segs: DataFrame) -> DataFrame:
+    """Each quotation's ``tagged`` name and, if it has none, the names ``near`` it."""
+    return _said(read_once(segs))
+
+
+def _said(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'DIALOGUE'").select("book_id", "seq", "n", "tagged", "near")
 
 
 def tag_counts(quotes: DataFrame) -> DataFrame:
@@ -95,10 +106,12 @@ def genders(segs: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def roster(segs: DataFrame) -> DataFrame:
     """The cast: tagged names, and names near quotations often enough, with gender, confidence and number of lines."""
-    quotes = checkpointed(quotations(segs))
+    # Its text is read once: what is kept of it tells tags, names near by and genders.
+    rows = checkpointed(read_once(segs))
+    quotes = _said(rows)
     tags = tag_counts(quotes).withColumnRenamed("n_tags", "lines").withColumn("confidence", F.lit(1.0))
     near = near_counts(quotes).where(F.col("n_near") >= NEAR_LEAST).withColumnRenamed("n_near", "lines").withColumn("confidence", F.lit(0.6))
     cast = tags.unionByName(near)
-    return cast.join(genders(segs, quotes).drop("rule"), ["book_id", "name"], "left").select(
+    return cast.join(genders(rows, quotes).drop("rule"), ["book_id", "name"], "left").select(
         "book_id", "name", F.coalesce("gender", F.lit("UNKNOWN")).alias("gender"), "confidence", "lines"
     )

@@ -175,8 +175,8 @@ gendered AS (SELECT * FROM (SELECT k.book_id, k.name, coalesce(t.gender, v.gende
 @CAST.add("roster_genders", f"WITH {_GENDERS} SELECT * FROM gendered")
 def roster_genders(spark: SparkSession, folder: str) -> DataFrame:
     """Each name's gender and the rule that told it."""
-    segs = _segments(spark, folder)
-    return R.genders(segs, checkpointed(R.quotations(segs)))
+    rows = checkpointed(R.read_once(_segments(spark, folder)))
+    return R.genders(rows, rows.where("kind = 'DIALOGUE'").select("book_id", "seq", "n", "tagged", "near"))
 
 
 @CAST.add(
