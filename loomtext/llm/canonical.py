@@ -237,17 +237,18 @@ def look_alike_pairs(texts: DataFrame, group: list[str], key: str, text: str, sa
     """
     names = [f"_g{i}" for i in range(len(group))]
     keyed = checkpointed(_forms(texts, group, key, text))
-    strings = keyed.groupBy(*names, "form", "string").agg(F.count("*").alias("n"))
-    shared = strings.groupBy(*names, "form").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    several = strings.join(shared, [*names, "form"], "left_semi").withColumn("salts", F.ceil(F.col("n") / salted).cast("int")).drop("n")
+    # Only the rows of forms that several strings have are kept; they are few.
+    shared = keyed.groupBy(*names, "form").agg(F.min("string").alias("least"), F.max("string").alias("most")).where("least <> most").select(*names, "form")
+    rows = checkpointed(keyed.join(shared, [*names, "form"], "left_semi").dropDuplicates([*names, "_id", "string", "form"]))
+    several = rows.groupBy(*names, "form", "string").agg(F.ceil(F.count("*") / salted).cast("int").alias("salts"))
     matches = several.withColumnsRenamed({"string": "left_string", "salts": "left_salts"}).join(
         several.select(*names, "form", F.col("string").alias("right_string")), [*names, "form"]
     )
     matches = matches.where(F.col("left_string") < F.col("right_string"))
-    members = keyed.join(several, [*names, "form", "string"]).dropDuplicates([*names, "_id", "string", "form"])
+    members = rows.join(several, [*names, "form", "string"])
     left = members.select(*names, "form", F.col("string").alias("left_string"), F.pmod(F.xxhash64("_id"), F.col("salts")).cast("int").alias("salt"), F.col("_id").alias("_l"))
     right = (
-        matches.join(members.select(*names, "form", F.col("string").alias("right_string"), F.col("_id").alias("_r")), [*names, "form", "right_string"])
+        matches.join(rows.select(*names, "form", F.col("string").alias("right_string"), F.col("_id").alias("_r")), [*names, "form", "right_string"])
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("left_salts") - 1)))
         .drop("left_salts")
     )
