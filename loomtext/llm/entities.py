@@ -31,8 +31,8 @@ INITIAL, ONE_WORD, UNTOLD = 0.7, 0.55, 0.8
 LEAST_RECORDS, LEAST_SHARE = 3, 0.05
 #: Records of a cluster that one task pairs.
 SALTED = 1_000
-#: Edges of a component that one task links; larger ones are linked in rounds over all tasks.
-LARGEST = 50_000
+#: Edges that one task links; components of more are linked in rounds over all tasks.
+LARGEST = 20_000
 
 
 def profile(display: str | None, aliases: list[str] | None, gender: str | None) -> dict | None:
@@ -157,10 +157,11 @@ def clustered(edges: DataFrame, least: float = MERGE, largest: int = LARGEST) ->
         found = average_linkage(list(zip(group["a"], group["b"], group["score"])), least)
         return pd.DataFrame({"node": list(found), "cluster": list(found.values())}, columns=["node", "cluster"])
 
-    if large.isEmpty():
-        return placed.groupBy("component").applyInPandas(link, "node string, cluster string")
-    small = placed.join(large, "component", "left_anti").groupBy("component").applyInPandas(link, "node string, cluster string")
-    return small.unionByName(linked_in_rounds(placed.join(large, "component", "left_semi"), least))
+    # A task takes many small components at once.
+    tasks = F.lit(1 + placed.count() // largest)
+    own = placed if large.isEmpty() else placed.join(large, "component", "left_anti")
+    small = own.groupBy(F.pmod(F.xxhash64("component"), tasks).alias("task")).applyInPandas(link, "node string, cluster string")
+    return small if large.isEmpty() else small.unionByName(linked_in_rounds(placed.join(large, "component", "left_semi"), least))
 
 
 def _cosines(batch: pa.RecordBatch) -> np.ndarray:
