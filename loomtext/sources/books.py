@@ -93,13 +93,17 @@ def epub_paragraphs(content: bytes) -> list[tuple[str, str, int, int]]:
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``locator``, ``text``, ``chapter``, ``idx`` of the paragraphs of all EPUB files of a folder; one file is one task's row."""
+    return epub_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path))
+
+
+def epub_rows(files: DataFrame) -> DataFrame:
+    """The same of archives in the columns ``path`` and ``content``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 yield pd.DataFrame([(name, *row) for row in epub_paragraphs(content)], columns=["path", "locator", "text", "chapter", "idx"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path)
     return files.select("path", "content").mapInPandas(run, "path string, locator string, text string, chapter int, idx bigint")
 
 

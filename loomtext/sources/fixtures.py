@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -79,16 +80,25 @@ def attributed_export(spark: SparkSession, path: str) -> DataFrame:
 TRACE_FIELDS = "wall string, utterance int, gap_ms bigint, chars int, rate int, pitch int, locale string, voice string, caller_uid int, text string"
 
 
-def host_trace(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Chunks of a reading app from tab-separated files with a header; a leading space of the text stays. With ``stream`` as a stream."""
-    reader = spark.readStream if stream else spark.read
-    options = {"sep": "\t", "header": "true", "quote": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "mode": "DROPMALFORMED"}
-    return reader.schema(TRACE_FIELDS).options(**options).csv(path).where(F.col("text").rlike(r"\S"))
-
+def host_trace(spark: SparkSession, path: str, stream: bool = False, rejected: bool = False) -> DataFrame:
+    """Chunks of a reading app from tab-separated files with a header; a leading space of the text stays. With ``stream`` as a stream.
 
-def quoted_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Comma-separated files with a header, quoted fields, doubled quotes and line breaks inside; rows of another width are dropped."""
-    return spark.read.options(header=True, multiLine=True, quote='"', escape='"', mode="DROPMALFORMED", enforceSchema=False).csv(path)
+    With ``rejected`` instead the rows that do not fit the layout, as far as they can be read, each with its ``line``; none vanishes without a trace.
+    """
+    reader = spark.readStream if stream else spark.read
+    options = {"sep": "\t", "header": "true", "quote": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "columnNameOfCorruptRecord": "line", "enforceSchema": "true"}
+    rows = reader.schema(f"{TRACE_FIELDS}, line string").options(**options).csv(path)
+    return rows.where("line IS NOT NULL") if rejected else rows.where(F.col("line").isNull() & F.col("text").rlike(r"\S")).drop("line")
+
+
+def quoted_csv(spark: SparkSession, path: str, rejected: bool = False) -> DataFrame:
+    """Comma-separated files with a header, quoted fields, doubled quotes and line breaks inside; with ``rejected`` instead the rows of another width, each with its ``line``."""
+    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False}
+    if not rejected:
+        return spark.read.options(mode="DROPMALFORMED", **options).csv(path)
+    fields = spark.read.options(**options).csv(path).schema
+    rows = spark.read.schema(StructType([*fields, StructField("line", StringType())])).options(columnNameOfCorruptRecord="line", **options).csv(path)
+    return rows.where("line IS NOT NULL")
 
 
 def novel_index(spark: SparkSession, path: str) -> DataFrame:

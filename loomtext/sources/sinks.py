@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_VERSION = 1
@@ -25,6 +25,13 @@ def write_index(path: str, books: DataFrame, entries: DataFrame, spans: DataFram
         spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(f"{path}/{name}")
 
 
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The four index tables by name; an index that holds a book of a newer version than this build knows is an error."""
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("books", "entries", "spans", "prefixes")}
+    known = F.when(F.col("schema_version") <= INDEX_VERSION, F.col("schema_version")).otherwise(F.raise_error(F.lit("the index is newer than this build reads")))
+    return tables | {"books": tables["books"].withColumn("schema_version", known)}
+
+
 def replace_file(path: str, content: bytes) -> None:
     """Writes a file so that a reader sees the old or the new one, never a part: a temporary file beside it is renamed."""
     folder = os.path.dirname(os.path.abspath(path))
@@ -44,11 +51,10 @@ def _flat(c: str) -> Column:
 
 
 def attributed_tsv(lines: DataFrame, path: str) -> None:
-    """``locator kind speaker confidence tier text`` with tabs and line breaks as spaces."""
-    rows = lines.select(
-        F.concat_ws("\t", "locator", "kind", F.coalesce("speaker", F.lit("")), F.format_string("%.2f", "confidence"), "tier", _flat("text")).alias("value")
-    )
-    rows.write.mode("overwrite").text(path)
+    """``locator kind speaker confidence tier text`` with a header in each file, tabs and line breaks as spaces."""
+    rows = lines.select("locator", "kind", F.coalesce("speaker", F.lit("")).alias("speaker"), F.format_string("%.2f", "confidence").alias("confidence"), "tier", _flat("text").alias("text"))
+    plain = {"sep": "\t", "header": True, "quote": "", "escape": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**plain).csv(path)
 
 
 def bakeoff_dump(path: str, paragraphs: DataFrame, scenes: DataFrame, questions: DataFrame, cast: DataFrame) -> None:

@@ -70,6 +70,13 @@ def test_fixtures(spark, tmp_path):
     assert X.host_trace(spark, t).first().text == ' hi "there'
 
 
+def test_rejected_lines_are_kept(spark, tmp_path):
+    t = put(tmp_path / "t" / "t.tsv", "wall\tutterance\tgapMs\tchars\trate\tpitch\tlocale\tvoice\tcallerUid\ttext\n1:00\t1\t0\t3\t100\t100\teng-GBR\ten\t9\tok\n1:00\tx\t0\n")
+    assert X.host_trace(spark, t).count() == 1 and [r.line for r in X.host_trace(spark, t, rejected=True).collect()] == ["1:00\tx\t0"]
+    c = put(tmp_path / "q.csv", 'a,b\n1,"x\ny"\n2\n')
+    assert [tuple(r) for r in X.quoted_csv(spark, c).collect()] == [("1", "x\ny")] and X.quoted_csv(spark, c, rejected=True).first().line.strip() == "2"
+
+
 def test_corpus(spark, tmp_path):
     c = put(tmp_path / "q.csv", 'quoteID,quoteText,speaker,quoteType,quoteByteSpans\nQ1,"He said ""no""\nand left",Ann,nan,"[[1, 5], [9,12]]"\nQ2,,Bob,Explicit,\nbad,row\n')
     r = X.gold_quotations(spark, c).collect()
@@ -126,7 +133,9 @@ def test_index_replaces_books_only(spark, tmp_path):
 def test_exports(spark, tmp_path):
     lines = spark.createDataFrame([("b", 1, 0, None, "t\tx", "l", "NARRATION", 0.5, "NONE"), ("b", 0, 0, "S", "u", "l", "DIALOGUE", 1.0, "X")], "book_id string, seq int, n int, speaker string, text string, locator string, kind string, confidence double, tier string")
     K.attributed_tsv(lines, str(tmp_path / "t"))
-    assert {r.value for r in spark.read.text(str(tmp_path / "t")).collect()} == {"l\tNARRATION\t\t0.50\tNONE\tt x", "l\tDIALOGUE\tS\t1.00\tX\tu"}
+    header = "locator\tkind\tspeaker\tconfidence\ttier\ttext"
+    assert {r.value for r in spark.read.text(str(tmp_path / "t")).collect()} == {header, "l\tNARRATION\t\t0.50\tNONE\tt x", "l\tDIALOGUE\tS\t1.00\tX\tu"}
+    assert {(r.kind, r.speaker, r.text) for r in X.attributed_export(spark, str(tmp_path / "t")).collect()} == {("NARRATION", None, "t x"), ("DIALOGUE", "S", "u")}
     script = json.loads(K.script_json(lines, ["book_id"]).first().script)
     assert [x["text"] for x in script["lines"]] == ["u", "t\tx"] and "speaker" not in script["lines"][1]
     K.bakeoff_dump(str(tmp_path / "d"), lines, lines, lines, lines)
