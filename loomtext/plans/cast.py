@@ -108,7 +108,25 @@ def turn_boundaries_query(spark: SparkSession, folder: str) -> DataFrame:
     return turn_boundaries(_talking(spark, folder), F.col("talks")).select("book_id", "scene_start", "seq", "boundary")
 
 
-@CAST.add("scene_split")
+_SPLIT = f"""{_TURNS},
+spoke AS (SELECT book_id, seq, arg_max({S.tag_name('before', 'after')}, n) FILTER ({S.tag_name('before', 'after')} IS NOT NULL) AS speaker FROM seg WHERE kind = 'DIALOGUE' GROUP BY ALL),
+whole AS (SELECT t.book_id, t.scene_start, list(t.seq ORDER BY t.seq) AS seqs, list(boundary ORDER BY t.seq) AS turns, list(talks ORDER BY t.seq) AS talks, list(speaker ORDER BY t.seq) AS who,
+  list(spent ORDER BY t.seq) AS spent, count(*) AS size FROM (SELECT *, sum(ceil(length(text) / 4)) OVER (PARTITION BY book_id, scene_start ORDER BY seq)::BIGINT AS spent FROM turned) t LEFT JOIN spoke USING (book_id, seq) GROUP BY ALL),
+cuts AS (
+  SELECT book_id, scene_start, 0::BIGINT AS low, NULL::BIGINT AS before, true AS clean FROM whole
+  UNION ALL
+  SELECT book_id, scene_start, coalesce(turn, quiet, stop), low, turn IS NOT NULL OR quiet IS NOT NULL FROM (
+    SELECT *, list_max(list_filter(range(low + 1, stop + 1), lambda i: turns[i + 1])) AS turn, list_max(list_filter(range(low + 1, stop + 1), lambda i: NOT talks[i + 1])) AS quiet FROM (
+      SELECT c.book_id, c.scene_start, low, turns, talks, size, greatest(low + 1, len(list_filter(spent, lambda s: s <= CASE WHEN low = 0 THEN 0 ELSE spent[low] END + 2048))) AS stop FROM cuts c JOIN whole w ON c.book_id = w.book_id AND c.scene_start = w.scene_start)
+    WHERE stop < size)),
+bounds AS (SELECT *, lead(low) OVER (PARTITION BY book_id, scene_start ORDER BY low) AS high FROM cuts)"""
+
+
+@CAST.add(
+    "scene_split",
+    f"""WITH RECURSIVE {_SPLIT} SELECT b.book_id, b.scene_start, seqs[low + 1] AS piece_start, CASE WHEN high IS NULL THEN scene_end ELSE seqs[high + 1] END::INT AS piece_end,
+    list_filter(who[before + 1:low], lambda s: s IS NOT NULL)[-1] AS carried_speaker, clean AS at_turn_boundary FROM bounds b JOIN whole w ON b.book_id = w.book_id AND b.scene_start = w.scene_start JOIN scene s ON b.book_id = s.book_id AND b.scene_start = s.scene_start""",
+)
 def scene_split(spark: SparkSession, folder: str) -> DataFrame:
     """Scenes cut to 2,048 estimated tokens."""
     turned = turn_boundaries(_talking(spark, folder).withColumn("cost", estimated_tokens(F.col("text"))), F.col("talks"))

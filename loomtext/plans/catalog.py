@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomtext.plans.cast import CAST
 from loomtext.plans.corpus import CORPUS
+from loomtext.plans.dialogue import DIALOGUE
 from loomtext.plans.feeds import FEEDS
 from loomtext.plans.files import FILES
 from loomtext.plans.library import LIBRARY
@@ -15,6 +16,6 @@ from loomtext.plans.streams import STREAMS
 from loomtext.plans.textual import TEXTUAL
 
 CATALOG = Registry()
-for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY, SOUND, STREAMS, CORPUS, FILES, RELATIONAL):
+for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY, SOUND, STREAMS, CORPUS, DIALOGUE, FILES, RELATIONAL):
     CATALOG.queries.update(part.queries)
     CATALOG.sql.update(part.sql)

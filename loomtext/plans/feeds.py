@@ -60,13 +60,27 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return trace.unionByName(labels).select("line_id", "reason")
 
 
-@FEEDS.add("p3_trace_rows")
+_CTES, _ = _SQL_FOUND.rsplit("SELECT line_id, reason FROM trace WHERE", 1)
+
+
+@FEEDS.add(
+    "p3_trace_rows",
+    f"""{_CTES} SELECT line_id, trim(f[1]) AS wall, TRY_CAST(trim(f[2]) AS BIGINT) AS utterance, TRY_CAST(trim(f[3]) AS BIGINT) AS gap_ms, TRY_CAST(trim(f[4]) AS BIGINT) AS chars, TRY_CAST(trim(f[5]) AS BIGINT) AS rate,
+    TRY_CAST(trim(f[6]) AS BIGINT) AS pitch, trim(f[7]) AS locale, trim(f[8]) AS voice, TRY_CAST(trim(f[9]) AS BIGINT) AS caller_uid, f[10] AS text FROM t JOIN trace USING (line_id) WHERE reason IS NULL""",
+)
 def p3_trace_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The good lines of the host traces as typed rows."""
     return loaded(parse_lines(table(spark, folder, "trace_raw"), HOST_TRACE), HOST_TRACE)
 
 
-@FEEDS.add("p3_label_rows")
+_FIELD = "replace(trim(CASE WHEN c.{c} LIKE '\"%' THEN c.{c}[2:-2] ELSE c.{c} END, ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '\"\"', '\"')"
+
+
+@FEEDS.add(
+    "p3_label_rows",
+    f"""{_CTES} SELECT line_id, {_FIELD.format(c='c0')} AS book_id, TRY_CAST({_FIELD.format(c='c1')} AS BIGINT) AS chapter, TRY_CAST({_FIELD.format(c='c2')} AS BIGINT) AS seq, {_FIELD.format(c='c3')} AS kind,
+    {_FIELD.format(c='c4')} AS speaker, TRY_CAST({_FIELD.format(c='c5')} AS DOUBLE) AS confidence, {_FIELD.format(c='c6')} AS sentence FROM l JOIN labels USING (line_id) WHERE reason IS NULL""",
+)
 def p3_label_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The good lines of the speaker labels as typed rows."""
     return loaded(parse_lines(table(spark, folder, "labels_raw"), SPEAKER_LABELS), SPEAKER_LABELS)
