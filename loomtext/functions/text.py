@@ -39,13 +39,22 @@ def is_blank(c: Column) -> Column:
     return c.rlike(rf"\A{WHITE}*\z")
 
 
-def index_sentences(c: Column) -> Column:
+#: Further ones that a wider reading of abbreviations holds.
+WIDE_ABBREVIATIONS = [*ABBREVIATIONS, "e.g", "i.e"]
+
+
+def unquoted(c: Column) -> Column:
+    """Without white space and double quotation marks at the ends."""
+    return strip(F.regexp_replace(strip(c), r'^["“”]+|["“”]+$', ""))
+
+
+def index_sentences(c: Column, known: list[str] = ABBREVIATIONS) -> Column:
     """Sentences as the index holds them: a break after ``.!?`` at the end or before a space, tab or line break.
 
     A period of an abbreviation does not break, a closing quote right after the mark blocks the break, blank
     pieces are dropped, the rest is stripped.
     """
-    abbreviations = "|".join(ABBREVIATIONS)
+    abbreviations = "|".join(a.replace(".", "[.]") for a in known)
     held = F.regexp_replace(c, rf"(?i)((?:^|{WHITE})(?:{abbreviations}))[.](?=[ \n\r\t]|$)", "$1" + _HELD)
     cut = F.regexp_replace(held, r"([.!?])([ \n\r\t])", "$1" + _CUT + "$2")
     parts = F.transform(F.split(cut, _CUT), lambda s: strip(F.translate(s, _HELD, ".")))

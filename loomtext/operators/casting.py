@@ -160,3 +160,16 @@ def cast_voices(people: DataFrame, edges: DataFrame, pool: DataFrame) -> DataFra
     cast = people.select("book_id", "char_id", "gender", F.coalesce("line_count", F.lit(0)).alias("line_count"))
     met = edges.select(F.col("book_id").alias("k"), "a", "b")
     return cast.groupBy("book_id").cogroup(met.groupBy("k")).applyInPandas(run, "book_id string, char_id string, voice int, rate double")
+
+
+def candidates_for(people: DataFrame, pool: DataFrame) -> DataFrame:
+    """``people`` with ``candidates``: the voices of the pool of the same ``gender`` and ``age``, else of the same gender, else all.
+
+    ``pool``: ``speaker``, ``gender``, ``age``, a small table; its groups meet people by equal keys. A person without a gender gets all.
+    """
+    voices = F.array_sort(F.collect_set("speaker"))
+    exact = pool.where("gender IS NOT NULL AND age IS NOT NULL").groupBy("gender", "age").agg(voices.alias("_exact"))
+    same = pool.where("gender IS NOT NULL").groupBy("gender").agg(voices.alias("_same"))
+    every = pool.agg(voices.alias("_all")).withColumn("_one", F.lit(1))
+    met = people.withColumn("_one", F.lit(1)).join(exact, ["gender", "age"], "left").join(same, "gender", "left").join(every, "_one", "left")
+    return met.withColumn("candidates", F.coalesce("_exact", "_same", "_all")).drop("_exact", "_same", "_all", "_one")

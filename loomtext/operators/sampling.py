@@ -43,3 +43,9 @@ def stratified(rows: DataFrame, keys: Sequence[str], place: str, strata: int, id
 def seeded_order(id_column: str, seed: int = 0) -> Column:
     """A key that shuffles rows the same way each time."""
     return F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(str(seed))))
+
+
+def with_context(chosen: DataFrame, rows: DataFrame, keys: Sequence[str], place: str, around: int = 2) -> DataFrame:
+    """For each chosen row those up to ``around`` places before and behind it: ``keys``, ``chosen``, ``place`` and the columns of ``rows``."""
+    wanted = chosen.select(*keys, F.col(place).alias("chosen"), F.explode(F.sequence(F.col(place) - around, F.col(place) + around)).alias(place))
+    return wanted.join(rows, [*keys, place])

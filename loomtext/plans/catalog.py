@@ -8,6 +8,7 @@ from loomtext.plans.dialogue import DIALOGUE
 from loomtext.plans.feeds import FEEDS
 from loomtext.plans.files import FILES
 from loomtext.plans.library import LIBRARY
+from loomtext.plans.measures import MEASURES
 from loomtext.plans.registry import Registry
 from loomtext.plans.relational import RELATIONAL
 from loomtext.plans.sound import SOUND
@@ -16,6 +17,6 @@ from loomtext.plans.streams import STREAMS
 from loomtext.plans.textual import TEXTUAL
 
 CATALOG = Registry()
-for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY, SOUND, STREAMS, CORPUS, DIALOGUE, FILES, RELATIONAL):
+for part in (FEEDS, TEXTUAL, CAST, SPEECH, LIBRARY, SOUND, STREAMS, CORPUS, DIALOGUE, FILES, MEASURES, RELATIONAL):
     CATALOG.queries.update(part.queries)
     CATALOG.sql.update(part.sql)

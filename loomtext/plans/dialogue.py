@@ -168,7 +168,7 @@ def spoken_pace(spark: SparkSession, folder: str) -> DataFrame:
 
 @DIALOGUE.add(
     "spoken_conversion",
-    f"""WITH RECURSIVE {_SPOKEN}, {_TAKEN}, a AS (SELECT book_id, seq, n, speaker_id, NULL AS why FROM spoken WHERE speaker_id IS NOT NULL UNION ALL SELECT book_id, seq, n, who, why FROM t WHERE who IS NOT NULL)
+    f"""WITH RECURSIVE {_SPOKEN}, {_TAKEN}, a AS (SELECT book_id, seq, n, speaker_id, NULL::VARCHAR AS why FROM spoken WHERE speaker_id IS NOT NULL UNION ALL SELECT book_id, seq, n, who, why FROM t WHERE who IS NOT NULL)
     SELECT count(*) AS lines, count(a.speaker_id) AS answered, count(*) FILTER (WHERE a.speaker_id = s.truth) AS correct, count(*) FILTER (WHERE a.why IS NOT NULL) AS found FROM spoken s LEFT JOIN a ON s.book_id = a.book_id AND s.seq = a.seq AND s.n = a.n WHERE s.kind = 'DIALOGUE' AND truth IS NOT NULL""",
 )
 def spoken_conversion(spark: SparkSession, folder: str) -> DataFrame:

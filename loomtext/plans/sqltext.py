@@ -121,8 +121,8 @@ def plain_sentences(x: str) -> str:
     return f"list_filter(string_split(regexp_replace({x}, '([.!?])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(2), 'g'), chr(2)), lambda s: NOT regexp_full_match(s, '{WHITE}*'))"
 
 
-def index_sentences(x: str) -> str:
-    abbreviations = "|".join(ABBREVIATIONS)
+def index_sentences(x: str, known: list[str] = ABBREVIATIONS) -> str:
+    abbreviations = "|".join(a.replace(".", "[.]") for a in known)
     # No look-ahead here: the abbreviation's period is held in two passes, as one match may end where the next begins.
     held = x
     for _ in range(2):
