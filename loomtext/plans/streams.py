@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import full_form
 from loomtext.operators.segments import paragraphs
-from loomtext.plans.library import chunk_books
+from loomtext.plans import sqltext as S
+from loomtext.plans.library import _HITS, chunk_books
 from loomtext.plans.registry import Registry
 from loomtext.session import checkpointed
 from loomtext.sources.tables import table
@@ -77,7 +78,19 @@ def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     return R.drained(spark, R.once(rows, "received_at", ["session_id", "utterance"], "3650 days").select("session_id", "utterance"))
 
 
-@STREAMS.add("stream_lock")
+@STREAMS.add(
+    "stream_lock",
+    f"""WITH RECURSIVE {_HITS}, held_in AS (SELECT form, list(book_id ORDER BY indexed_at DESC, book_id) AS books FROM found GROUP BY 1),
+    c AS (SELECT session_id, utterance, row_number() OVER (PARTITION BY session_id ORDER BY utterance, chunk_id) AS i, coalesce(books, []::VARCHAR[]) AS books
+      FROM (SELECT session_id, utterance, chunk_id, {S.full_form('text')} AS form FROM host_trace WHERE session_id IS NOT NULL AND utterance IS NOT NULL) LEFT JOIN held_in USING (form)),
+    k AS (
+      SELECT DISTINCT session_id, 0::BIGINT AS i, NULL::BIGINT AS said_at, NULL::VARCHAR AS locked, 0 AS misses, []::VARCHAR[] AS one, []::VARCHAR[] AS two FROM c
+      UNION ALL
+      SELECT session_id, i, said_at, CASE WHEN locked IS NULL THEN list_filter(books, lambda b: list_contains(one, b) AND list_contains(two, b))[1] WHEN missed >= 10 THEN NULL ELSE locked END,
+        CASE WHEN locked IS NULL OR missed >= 10 THEN 0 ELSE missed END, CASE WHEN locked IS NULL THEN books ELSE []::VARCHAR[] END, CASE WHEN locked IS NULL THEN one ELSE []::VARCHAR[] END
+      FROM (SELECT k.session_id, c.i, c.utterance::BIGINT AS said_at, locked, CASE WHEN list_contains(books, locked) THEN 0 ELSE misses + 1 END AS missed, one, two, books FROM k JOIN c ON k.session_id = c.session_id AND c.i = k.i + 1))
+    SELECT session_id, said_at AS "at", locked FROM k WHERE i > 0""",
+)
 def stream_lock(spark: SparkSession, folder: str) -> DataFrame:
     """The book that each session is locked on to after each chunk, of all books, by a stream of hits."""
     newest = F.array_sort(F.collect_set(F.struct((-F.col("indexed_at")).alias("age"), "book_id")))

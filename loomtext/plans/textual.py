@@ -242,7 +242,7 @@ def voice_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@TEXTUAL.add("json_strings")
+@TEXTUAL.add("json_strings", "SELECT line_id, to_json(raw_line)::VARCHAR AS quoted FROM labels_raw WHERE raw_line IS NOT NULL")
 def json_strings(spark: SparkSession, folder: str) -> DataFrame:
     """Raw lines as JSON strings."""
     rows = table(spark, folder, "labels_raw").where("raw_line IS NOT NULL")

@@ -47,23 +47,40 @@ def joined_streams(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     return a.join(b, condition).select("a.*", *[F.col(f"b.{c}").alias(f"right_{c}") for c in right.columns if c not in keys])
 
 
-def turn_stream(lines: DataFrame, key: str = "session_id") -> DataFrame:
+
+def _kept(idle: int | None) -> str:
+    """A stream with a limit of time never ends by itself, as it waits for the limit; one over the input that is there has none."""
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    rows = pd.concat(list(batches))
+    return rows.sort_values("at", kind="stable")
+
+
+def turn_stream(lines: DataFrame, key: str = "session_id", idle: int | None = None) -> DataFrame:
     """Turn-taking on a stream of lines ``key``, ``at``, ``paragraph``, ``kind``, ``speaker``: each with the speaker that is known or found.
 
-    The state of a conversation is six names and a few marks, however long it goes on. Lines of one batch are taken in order of ``at``.
+    The state of a conversation is six names and a few marks, however long it goes on; one that sends nothing for ``idle`` milliseconds
+    is forgotten (default: none is). Lines of one batch are taken in order of ``at``.
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         talk = Talk()
         if state.exists:
             turns, *rest = json.loads(state.get[0])
             talk = Talk(tuple(turns), *rest)
-        rows = pd.concat(list(batches)).sort_values("at")
+        rows = _ordered(batches)
         found = []
         for p, kind, s in zip(rows["paragraph"].tolist(), rows["kind"], rows["speaker"]):
             talk, answer = step(talk, (p, kind, None if pd.isna(s) else s))
             found.append(answer)
         state.update((json.dumps(talk),))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame(
             {
                 key: k[0],
@@ -74,18 +91,22 @@ def turn_stream(lines: DataFrame, key: str = "session_id") -> DataFrame:
         )
 
     schema = f"{key} string, at bigint, speaker string, evidence string"
-    return lines.groupBy(key).applyInPandasWithState(run, schema, "talk string", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy(key).applyInPandasWithState(run, schema, "talk string", "append", _kept(idle))
 
 
-def lock_stream(hits: DataFrame, key: str = "session_id", lock_after: int = LOCK_AFTER, forget_after: int = FORGET_AFTER) -> DataFrame:
+def lock_stream(hits: DataFrame, key: str = "session_id", lock_after: int = LOCK_AFTER, forget_after: int = FORGET_AFTER, idle: int | None = None) -> DataFrame:
     """Lock-on over a stream of hits ``key``, ``at``, ``books`` (array of the books in which the chunk was found, newest first): ``locked`` after each chunk.
 
-    Until locked each book's run of hits counts; several misses in a row of the locked book free it again.
+    Until locked each book's run of hits counts; several misses in a row of the locked book free it again. A session that sends nothing
+    for ``idle`` milliseconds is forgotten (default: none is).
     """
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         locked, misses, streak = json.loads(state.get[0]) if state.exists else (None, 0, {})
-        rows = pd.concat(list(batches)).sort_values("at")
+        rows = _ordered(batches)
         out = []
         for books in rows["books"]:
             here = [] if books is None else list(books)
@@ -100,9 +121,11 @@ def lock_stream(hits: DataFrame, key: str = "session_id", lock_after: int = LOCK
                     locked, misses = ready[0], 0
             out.append(locked)
         state.update((json.dumps([locked, misses, streak]),))
+        if idle is not None:
+            state.setTimeoutDuration(idle)
         yield pd.DataFrame({key: k[0], "at": rows["at"], "locked": out})
 
-    return hits.groupBy(key).applyInPandasWithState(run, f"{key} string, at bigint, locked string", "state string", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy(key).applyInPandasWithState(run, f"{key} string, at bigint, locked string", "state string", "append", _kept(idle))
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
