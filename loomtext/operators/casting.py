@@ -170,6 +170,6 @@ def candidates_for(people: DataFrame, pool: DataFrame) -> DataFrame:
     voices = F.array_sort(F.collect_set("speaker"))
     exact = pool.where("gender IS NOT NULL AND age IS NOT NULL").groupBy("gender", "age").agg(voices.alias("_exact"))
     same = pool.where("gender IS NOT NULL").groupBy("gender").agg(voices.alias("_same"))
-    every = F.broadcast(pool.agg(voices.alias("_all")).withColumn("_one", F.lit(1)))  # one row
-    met = people.withColumn("_one", F.lit(1)).join(exact, ["gender", "age"], "left").join(same, "gender", "left").join(every, "_one", "left")
-    return met.withColumn("candidates", F.coalesce("_exact", "_same", "_all")).drop("_exact", "_same", "_all", "_one")
+    every = pool.agg(voices).scalar()
+    met = people.join(exact, ["gender", "age"], "left").join(same, "gender", "left")
+    return met.withColumn("candidates", F.coalesce("_exact", "_same", every)).drop("_exact", "_same")
