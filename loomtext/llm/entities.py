@@ -145,18 +145,21 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def clustered(edges: DataFrame, least: float = MERGE, largest: int = LARGEST) -> DataFrame:
-    """``node`` and ``cluster`` by average linkage of the edges ``a``, ``b``, ``score``.
+    """``node`` and ``cluster`` by average linkage of the edges ``a``, ``b``, ``score``, which are counted first and best come from a checkpoint.
 
     Components of up to ``largest`` edges are linked each in one task, larger ones in rounds; both give the same.
     """
-    placed = checkpointed(edges.join(components(edges).withColumnRenamed("node", "a"), "a"))
-    count = placed.groupBy("component").agg(F.count("*").alias("n"))
-    large = checkpointed(count.where(F.col("n") > largest).select("component"))
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         found = average_linkage(list(zip(group["a"], group["b"], group["score"])), least)
         return pd.DataFrame({"node": list(found), "cluster": list(found.values())}, columns=["node", "cluster"])
 
+    if edges.count() <= largest:
+        # So few that one task holds them all, whatever their components.
+        return edges.select("a", "b", "score").groupBy(F.lit(0).alias("task")).applyInPandas(link, "node string, cluster string")
+    placed = checkpointed(edges.join(components(edges).withColumnRenamed("node", "a"), "a"))
+    count = placed.groupBy("component").agg(F.count("*").alias("n"))
+    large = checkpointed(count.where(F.col("n") > largest).select("component"))
     # A task takes many small components at once.
     tasks = F.lit(1 + placed.count() // largest)
     own = placed if large.isEmpty() else placed.join(large, "component", "left_anti")
@@ -445,7 +448,7 @@ def _attached(
         .where("score >= 0.5")
         .distinct()
     )
-    return clear.unionByName(clustered(alike, 0.5, largest).select("node", "cluster"))
+    return clear.unionByName(clustered(checkpointed(alike), 0.5, largest).select("node", "cluster"))
 
 
 def record_pairs(linked: DataFrame, scope: str = "book_id", key: str = "rec_id", salted: int = SALTED) -> DataFrame:
