@@ -110,19 +110,25 @@ def enrichment_fold(spark: SparkSession, folder: str) -> DataFrame:
 )
 def canonical_id_join(spark: SparkSession, folder: str) -> DataFrame:
     """Names of documents with their character: the one of that name, else of the longest name they end with, else of the longest name that ends with them."""
-    from loomtext.operators.attribution import known_names
-
-    known = _aliases(spark, folder).where("name <> ''").groupBy("book_id", F.lower("name").alias("name")).agg(F.min("char_id").alias("char_id"))
+    known = _aliases(spark, folder).where("name <> ''").groupBy("book_id", F.lower("name").alias("known")).agg(F.min("char_id").alias("id"))
     said = table(spark, folder, "documents").where("book_id IS NOT NULL").select("book_id", F.explode("cast_names").alias("n")).where("n IS NOT NULL AND n <> ''")
-    said = said.select("book_id", F.lower("n").alias("folded")).distinct()
+    said = said.select("book_id", F.lower("n").alias("said")).distinct()
+    longest = F.max_by("id", F.struct(F.length("known"), "known")).alias("id")
     # A name equal to the one said is longer than any that it only ends with.
-    first = known_names(said, known)
-    # Every ending of a known name is joined by equality.
-    endings = known.select("book_id", "char_id", "name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at"))
-    endings = endings.select("book_id", "char_id", "name", F.substr("name", F.col("at"), F.length("name")).alias("folded"))
-    rest = said.join(first, ["book_id", "folded"], "left_anti").join(endings, ["book_id", "folded"])
-    second = rest.groupBy("book_id", "folded").agg(F.max_by("char_id", F.struct(F.length("name"), "name")).alias("char_id"))
-    return first.unionByName(second).select("book_id", F.col("folded").alias("said"), F.col("char_id").alias("id"))
+    first = _ending_with(said, "said", known, "known").groupBy("book_id", "said").agg(longest)
+    rest = said.join(first, ["book_id", "said"], "left_anti")
+    return first.unionByName(_ending_with(known, "known", rest, "said").groupBy("book_id", "said").agg(longest))
+
+
+def _ending_with(whole: DataFrame, text: str, ends: DataFrame, ending: str) -> DataFrame:
+    """Rows of ``whole`` and ``ends`` of one book whose ``text`` ends with ``ending``: texts are cut at the lengths that endings of their book have, and joined by equality.
+
+    The planner sizes the cut texts as if each had one ending, so that they would pass for small enough to be broadcast; the hint keeps both sides in the shuffle.
+    """
+    lengths = ends.groupBy("book_id").agg(F.collect_set(F.length(ending)).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length(text))
+    cut = whole.join(lengths.hint("merge"), "book_id").withColumn("_n", F.explode(fitting)).withColumn(ending, F.substr(text, F.length(text) - F.col("_n") + 1, F.col("_n"))).drop("_n", "_lengths")
+    return cut.join(ends.hint("merge"), ["book_id", ending])
 
 
 @CORPUS.add(
