@@ -283,11 +283,11 @@ def manifest_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 )
 def index_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The four tables of an index as they are read back, counted by book."""
-    from loomtext.functions.text import fnv64, full_form, openings
+    from loomtext.functions.text import fnv64_batched, full_form, openings
 
     path = f"{_shared(spark)}/index"
     paras = _paragraphs(spark, folder)
-    heads = paras.select("book_id", "seq", F.explode(openings(full_form(F.col("text")))).alias("p")).select("book_id", fnv64(F.col("p")).alias("prefix_hash"), "seq")
+    heads = paras.select("book_id", "seq", F.explode(openings(full_form(F.col("text")))).alias("p")).select("book_id", fnv64_batched("p").alias("prefix_hash"), "seq")
     spans = table(spark, folder, "spans").where("book_id IS NOT NULL").select("book_id", "seq", "ordinal", "span_start", "span_end").distinct()
     books = table(spark, folder, "books").select("book_id", "title", F.lit(K.INDEX_VERSION).alias("schema_version"))
     K.write_index(path, books, paras.select("book_id", "seq", "text", "chapter"), spans, heads)

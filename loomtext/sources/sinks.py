@@ -10,24 +10,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_VERSION = 1
+#: Folders of each index table. A book lies in one of them by its hash; a fixed value, as it places the books of written indexes.
+SHELVES = 64
 
 
 def write_index(path: str, books: DataFrame, entries: DataFrame, spans: DataFrame, prefixes: DataFrame) -> None:
-    """Writes the four index tables; each book that occurs replaces its own partition of each table, other books stay.
+    """Writes the four index tables; each book that occurs in a table replaces its own rows there, other books stay.
 
-    A book of another version than this one writes is refused before anything is written.
+    A book of another version than this one writes is refused before anything is written. The books of a table share ``SHELVES``
+    folders, so that the files to commit and to list don't grow with the books; other books of a shelf are written again with it.
     """
     if not books.where(F.col("schema_version") != INDEX_VERSION).isEmpty():
         raise ValueError(f"this build writes version {INDEX_VERSION} only")
-    for name, table, order in (("books", books, []), ("entries", entries, ["seq"]), ("spans", spans, ["seq", "ordinal"]), ("prefixes", prefixes.distinct(), ["prefix_hash", "seq"])):
-        # A book is split among as many tasks as its share of rows needs; sorting keeps its rows together in each file.
-        spread = table.hint("rebalance", "book_id").sortWithinPartitions("book_id", *order)
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(f"{path}/{name}")
+    tables = (("books", books, []), ("entries", entries, ["seq"]), ("spans", spans, ["seq", "ordinal"]), ("prefixes", prefixes.distinct(), ["prefix_hash", "seq"]))
+    for name, table, order in tables:
+        rows = table.withColumn("shelf", F.pmod(F.xxhash64("book_id"), F.lit(SHELVES)).cast("int"))
+        if _exists(table.sparkSession, f"{path}/{name}"):
+            rows = rows.unionByName(_other_books(f"{path}/{name}", rows), allowMissingColumns=True)
+        # A shelf is split among as many tasks as its share of rows needs; sorting keeps a book's rows together in each file.
+        spread = rows.hint("rebalance", "shelf").sortWithinPartitions("shelf", "book_id", *order)
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shelf").parquet(f"{path}/{name}")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def _other_books(path: str, rows: DataFrame) -> DataFrame:
+    """What the shelves of ``rows`` hold of other books."""
+    held = rows.sparkSession.read.parquet(path)
+    if "shelf" not in held.columns:
+        raise ValueError(f"{path} has a folder for each book, as older builds wrote it: write it anew elsewhere")
+    shelves = [r.shelf for r in rows.select("shelf").distinct().collect()]
+    new = rows.select(F.col("book_id").alias("_new")).distinct()
+    return held.where(F.col("shelf").isin(shelves)).join(new, F.col("book_id").eqNullSafe(F.col("_new")), "left_anti")
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The four index tables by name; an index that holds a book of a newer version than this build knows is an error."""
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("books", "entries", "spans", "prefixes")}
+    tables = {name: spark.read.parquet(f"{path}/{name}").drop("shelf") for name in ("books", "entries", "spans", "prefixes")}
     known = F.when(F.col("schema_version") <= INDEX_VERSION, F.col("schema_version")).otherwise(F.raise_error(F.lit("the index is newer than this build reads")))
     return tables | {"books": tables["books"].withColumn("schema_version", known)}
 

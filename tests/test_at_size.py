@@ -33,3 +33,29 @@ def test_canonical_id_broadcasts_no_endings(spark, tmp_path):
     df = CATALOG.queries["canonical_id_join"](spark, str(tmp_path))
     assert len(df.collect()) == 600
     assert not [x for x in broadcast(df) if "Generate explode(sequence(" in x or "Generate explode(filter(" in x]
+
+
+def test_index_of_many_books_in_few_folders(spark, tmp_path):
+    from loomtext.sources import sinks as K
+
+    def tables(rows):
+        entries = spark.createDataFrame(rows, "book_id string, seq int, text string")
+        return entries.selectExpr("book_id", "1 schema_version").distinct(), entries, entries.selectExpr("book_id", "seq", "0 ordinal"), entries.selectExpr("book_id", "1L prefix_hash", "seq")
+
+    path = str(tmp_path / "index")
+    K.write_index(path, *tables([(f"{b:03}", s, "old") for b in range(300) for s in range(2)]))
+    K.write_index(path, *tables([(f"{b:03}", 5, "new") for b in range(0, 300, 7)] + [("more", 0, "new")]))
+    want = {(f"{b:03}", s, "old") for b in range(300) if b % 7 for s in range(2)} | {(f"{b:03}", 5, "new") for b in range(0, 300, 7)} | {("more", 0, "new")}
+    index = K.read_index(spark, path)
+    # Ids of digits alone keep their zeros.
+    assert sorted((r.book_id, r.seq, r.text) for r in index["entries"].collect()) == sorted(want)
+    assert {name: index[name].count() for name in index} == {"books": 301, "entries": len(want), "spans": len(want), "prefixes": len(want)}
+    assert all(sum(x.is_dir() for x in (tmp_path / "index" / name).iterdir()) <= K.SHELVES for name in index)
+
+
+def test_hashes_of_many_texts(spark):
+    from loomtext.functions.text import fnv64, fnv64_batched
+
+    rows = [(t,) for t in ["", "a", "it was late", "Größe", "夜 は", "\U0001f600 x", None, "a", "long " * 300]]
+    got = spark.createDataFrame(rows, "t string").select(fnv64("t").alias("one"), fnv64_batched("t").alias("many")).collect()
+    assert [r.one for r in got[:6] + got[7:]] == [r.many for r in got[:6] + got[7:]] and got[6].many is None
