@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions.text import HEAD_WORDS, STRIPPED, full_form, index_sentences, let, openings
 from loomtext.operators.ordered import last_known, running_sum
+from loomtext.session import checkpointed
 
 WINDOW = 5
 LOCK_AFTER, FORGET_AFTER = 3, 10
@@ -344,5 +345,42 @@ def first_locks(said: DataFrame, hits: DataFrame, books: DataFrame, after: int =
     return first.select("session_id", F.col("l.b.book_id").alias("book_id"), F.col("l.utterance").alias("locked_at"))
 
 
+def session_hits(said: DataFrame, entries: DataFrame, books: DataFrame, after: int = LOCK_AFTER) -> DataFrame:
+    """``session_id``, ``form``, ``books``: of the books that each chunk of a session lies in, newest first, those that the session may lock on to.
+
+    ``said``: ``session_id``, ``utterance``, ``chunk_id``, ``form``; ``entries``: ``book_id``, ``form``; ``books``: ``book_id``, ``indexed_at``.
+    A session can lock on only to the newest book that ``after`` of its chunks in a row lie in. No phrase meets all books that it
+    stands in: chunks in a row meet those of the rarest of them, the others are looked up in these alone.
+    """
+    held = checkpointed(entries.where("form <> '' AND book_id IS NOT NULL").join(books.select("book_id"), "book_id", "left_semi").select("book_id", "form").distinct())
+    forms = said.select("form").where("form <> ''").distinct()
+    met = checkpointed(_met(forms, held.select("form").distinct(), [], []).select("asked", "held").distinct())
+    count = met.join(held.groupBy(F.col("form").alias("held")).agg(F.count("*").alias("n")), "held").groupBy(F.col("asked").alias("form")).agg(F.sum("n").alias("n"))
+    placed = running_sum(said, ["session_id"], "utterance", F.lit(1), "i", then=["chunk_id"])
+    hit = checkpointed(placed.join(count, "form").select("session_id", "i", F.struct("n", "form").alias("f")))
+    runs = hit.select("session_id", "i", F.array("f").alias("fs"))
+    for back in range(1, after):
+        before = hit.select("session_id", (F.col("i") + back).alias("i"), "f")
+        runs = runs.join(before, ["session_id", "i"]).select("session_id", "i", F.concat("fs", F.array("f")).alias("fs"))
+    runs = runs.select("session_id", F.transform(F.array_sort(F.array_distinct("fs")), lambda f: f["form"]).alias("fs")).distinct()
+    sets = checkpointed(runs.select("fs").distinct().withColumn("id", F.monotonically_increasing_id()))
+    rarest = sets.select("id", F.col("fs")[0].alias("asked")).join(met, "asked").select("id", F.col("held").alias("form"))
+    fits = checkpointed(rarest.join(held, "form").select("id", "book_id").distinct())
+    others = sets.select("id", F.explode(F.slice("fs", 2, after)).alias("form"))
+    asked = fits.join(others, "id")
+    lacking = asked.join(_lying_in(asked, held), ["book_id", "form"], "left_anti").select("id", "book_id")
+    kept = fits.join(lacking, ["id", "book_id"], "left_anti").join(books.select("book_id", "indexed_at"), "book_id")
+    newest = kept.groupBy("id").agg(F.min(F.struct((-F.col("indexed_at")).alias("age"), "book_id")).alias("b")).join(sets, "id")
+    may = checkpointed(runs.join(newest, "fs").select("session_id", "b.age", "b.book_id").distinct())
+    wanted = said.where("form <> ''").select("session_id", "form").distinct().join(may, "session_id")
+    found = wanted.join(_lying_in(wanted, held), ["book_id", "form"], "left_semi")
+    return found.groupBy("session_id", "form").agg(F.transform(F.array_sort(F.collect_set(F.struct("age", "book_id"))), lambda b: b["book_id"]).alias("books"))
+
+
+def _lying_in(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """The ``book_id`` and ``form`` of ``wanted`` where the form lies in that book."""
+    return _met(wanted.select("book_id", "form").distinct(), held, ["book_id"], []).select("book_id", F.col("asked").alias("form")).distinct()
+
+
 def replay(cursor: Cursor, chunks: Iterable[str]) -> list[Found]:
     return [cursor.match(c) for c in chunks]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import full_form
+from loomtext.operators import matching as M
 from loomtext.operators.segments import paragraphs
 from loomtext.plans import sqltext as S
-from loomtext.plans.library import _HITS, chunk_books
+from loomtext.plans.library import _HITS
 from loomtext.plans.registry import Registry
 from loomtext.session import checkpointed
 from loomtext.sources.tables import table
@@ -93,11 +94,11 @@ def stream_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_lock(spark: SparkSession, folder: str) -> DataFrame:
     """The book that each session is locked on to after each chunk, of all books, by a stream of hits."""
-    newest = F.array_sort(F.collect_set(F.struct((-F.col("indexed_at")).alias("age"), "book_id")))
-    held = chunk_books(spark, folder).join(table(spark, folder, "books").select("book_id", "indexed_at"), "book_id")
-    found = checkpointed(held.groupBy("form").agg(F.transform(newest, lambda b: b["book_id"]).alias("books")))
+    said = table(spark, folder, "host_trace").where("session_id IS NOT NULL AND utterance IS NOT NULL").select("session_id", "utterance", "chunk_id", full_form(F.col("text")).alias("form"))
+    held = paragraphs(table(spark, folder, "entries")).select("book_id", full_form(F.col("text")).alias("form"))
+    found = checkpointed(M.session_hits(said, held, table(spark, folder, "books")))
     rows = _stream(spark, folder, "host_trace").where("session_id IS NOT NULL AND utterance IS NOT NULL").withColumn("form", full_form(F.col("text")))
-    hits = rows.join(found, "form", "left").select("session_id", F.col("utterance").cast("bigint").alias("at"), F.coalesce("books", F.array().cast("array<string>")).alias("books"))
+    hits = rows.join(found, ["session_id", "form"], "left").select("session_id", F.col("utterance").cast("bigint").alias("at"), F.coalesce("books", F.array().cast("array<string>")).alias("books"))
     return R.drained(spark, R.lock_stream(hits))
 
 

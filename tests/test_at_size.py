@@ -59,3 +59,42 @@ def test_hashes_of_many_texts(spark):
     rows = [(t,) for t in ["", "a", "it was late", "Größe", "夜 は", "\U0001f600 x", None, "a", "long " * 300]]
     got = spark.createDataFrame(rows, "t string").select(fnv64("t").alias("one"), fnv64_batched("t").alias("many")).collect()
     assert [r.one for r in got[:6] + got[7:]] == [r.many for r in got[:6] + got[7:]] and got[6].many is None
+
+
+def test_session_hits_name_only_books_to_lock_on(spark):
+    import random
+
+    from loomtext.operators.matching import FORGET_AFTER, LOCK_AFTER, session_hits
+
+    rng = random.Random(5)
+    phrases = ["chapter", "he said", "no", "he said no more"]
+    books = {f"b{k:02}": {*rng.sample(phrases, 3), *(f"line {k} {i}" for i in range(9))} for k in range(60)}
+    chunks = []
+    for s in range(6):
+        for u in range(40):
+            own = sorted(books[f"b{(s + 7 * (u // 14)) % 60:02}"])
+            chunks.append((f"s{s}", u, 100 * s + u, rng.choice([*own, *phrases, "nowhere", ""])))
+    held = [(b, t) for b, texts in books.items() for t in texts]
+    got = session_hits(spark.createDataFrame(chunks, "session_id string, utterance int, chunk_id bigint, form string"), spark.createDataFrame(held, "book_id string, form string"), spark.createDataFrame([(b, k // 2) for k, b in enumerate(books)], "book_id string, indexed_at bigint"))
+    hits = {(r.session_id, r.form): r.books for r in got.collect()}
+    newest = sorted(books, key=lambda b: (-(int(b[1:]) // 2), b))
+    fits = lambda f, t: (t + " ").startswith(f + " ") or (f + " ").startswith(t + " ")
+    every = {f: [b for b in newest if f and any(fits(f, t) for t in books[b])] for *_, f in chunks}
+
+    def locked(session, known):
+        lock, misses, streak, out = None, 0, {}, []
+        for f in [c[3] for c in chunks if c[0] == session]:
+            here = known(f)
+            if lock:
+                misses = 0 if lock in here else misses + 1
+                if misses >= FORGET_AFTER:
+                    lock, misses, streak = None, 0, {}
+            else:
+                streak = {b: streak.get(b, 0) + 1 for b in here}
+                lock, misses = next((b for b in here if streak[b] >= LOCK_AFTER), None), 0
+            out.append(lock)
+        return out
+
+    for s in {c[0] for c in chunks}:
+        assert locked(s, lambda f: hits.get((s, f), [])) == locked(s, every.get)
+    assert max(map(len, every.values())) > 40 and max(map(len, hits.values())) < 15
