@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import HEAD_WORDS, STRIPPED, full_form, index_sentences, let, openings
@@ -18,6 +19,8 @@ from loomtext.session import checkpointed
 
 WINDOW = 5
 LOCK_AFTER, FORGET_AFTER = 3, 10
+#: Chunks of a book up to which its sessions stay in one task.
+BOOK_CHUNKS = 20_000
 
 _DROPPED = regex.compile(r"[^\p{L}\p{Nd}' ]")
 _SPACED = regex.compile(r"[\s\p{Z}\-—]")
@@ -155,22 +158,102 @@ class Places:
         return self.at[max(0, n)]
 
 
+class Forms:
+    """The normal forms of a book's entries by place and in sorted order, which any number of cursors may share.
+
+    A text can be read from the beginning of an entry that it begins, and all such are a range of the sorted forms; or of one
+    that it goes beyond, whose form is among its own openings, where its rest can be read from the next entry on.
+    """
+
+    #: Places kept from one search to the next.
+    KEPT = 1 << 22
+
+    def __init__(self, form: Mapping[int, str]):
+        self.form = form
+        places = sorted(form)
+        ranked = sorted(range(len(places)), key=lambda i: form[places[i]])
+        self.sorted = [form[places[i]] for i in ranked]
+        self.places = np.array(places, dtype=np.int64)
+        self.by_rank = self.places[ranked] if ranked else self.places
+        self.rank = np.empty(len(ranked), dtype=np.int64)
+        self.rank[ranked] = np.arange(len(ranked))
+        self.known = set(self.sorted)
+        self.longest = max(map(len, self.known), default=0)
+        self.found: dict[str, np.ndarray] = {}
+        self.kept = 0
+
+    def starts(self, wanted: str) -> np.ndarray:
+        """The places in order where ``wanted`` can be read from the beginning of an entry that shares its first word."""
+        found = self.found.get(wanted)
+        if found is None:
+            found = self._starts(wanted)
+            self.kept += len(found) + 32
+            if self.kept > self.KEPT:
+                self.found, self.kept = {}, len(found) + 32
+            self.found[wanted] = found
+        return found
+
+    def _starts(self, wanted: str) -> np.ndarray:
+        # The ends of the entries that may be read from each place of the text at which one can begin.
+        ends: dict[int, list[int]] = {}
+        todo = [0]
+        while todo:
+            at = todo.pop()
+            if at in ends:
+                continue
+            ends[at], space = [], wanted.find(" ", at)
+            while 0 <= space - at <= self.longest:
+                if wanted[at:space] in self.known:
+                    ends[at].append(space)
+                    todo.append(space + 1)
+                space = wanted.find(" ", space + 1)
+        through: dict[int, np.ndarray] = {}
+        for at in sorted(ends, reverse=True):
+            runs = [np.empty(0, dtype=np.int64)]
+            for end in ends[at]:
+                here = self._equal(wanted[at:end])
+                runs.append(self._before(here, self._begun(wanted[end + 1 :])))
+                runs.append(through[end + 1][self._within(through[end + 1] - 1, here)] - 1)
+            through[at] = np.unique(np.concatenate(runs)) if len(runs) > 1 else runs[0]
+        # A single word must be a whole one. A space sorts before all that can follow inside a word.
+        first, last = self._begun(wanted) if " " in wanted else (bisect_left(self.sorted, wanted), bisect_left(self.sorted, wanted + "!"))
+        begun = np.sort(self.by_rank[first:last])
+        return np.union1d(begun, through[0]) if len(through[0]) else begun
+
+    def _equal(self, text: str) -> tuple[int, int]:
+        return bisect_left(self.sorted, text), bisect_right(self.sorted, text)
+
+    def _begun(self, text: str) -> tuple[int, int]:
+        return bisect_left(self.sorted, text), bisect_left(self.sorted, text + "\U0010ffff")
+
+    def _within(self, places: np.ndarray, ranks: tuple[int, int]) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.places, places), len(self.places) - 1)
+        return (self.places[i] == places) & (self.rank[i] >= ranks[0]) & (self.rank[i] < ranks[1])
+
+    def _before(self, here: tuple[int, int], then: tuple[int, int]) -> np.ndarray:
+        """Places of the forms ``here`` right before one of ``then``, from the side that has fewer."""
+        if here[1] - here[0] <= then[1] - then[0]:
+            places = self.by_rank[slice(*here)]
+            return places[self._within(places + 1, then)]
+        places = self.by_rank[slice(*then)] - 1
+        return places[self._within(places, here)]
+
+
 class Cursor:
-    """Follows a reader through one book: tries the place where the last chunk ended, the entries just ahead, then all by their openings."""
+    """Follows a reader through one book: tries the place where the last chunk ended, the entries just ahead, then all by their openings.
+
+    Cursors of one book may share its ``forms``; ``entries`` are then only needed for spans.
+    """
 
-    def __init__(self, entries: Mapping[int, Entry], window: int = WINDOW):
+    def __init__(self, entries: Mapping[int, Entry], window: int = WINDOW, forms: Forms | None = None):
         self.entries = entries
-        self.form = {s: normal(e.text) for s, e in entries.items()}
+        self.forms = Forms({s: normal(e.text) for s, e in entries.items()}) if forms is None else forms
+        self.form = self.forms.form
         self.window = window
         self.seq, self.offset = -1, 0
-        self.by_opening: dict[str, list[int]] = defaultdict(list)
-        for s in sorted(self.form):
-            words = self.form[s].split(" ")
-            for k in range(1, min(HEAD_WORDS, len(words)) + 1):
-                self.by_opening[" ".join(words[:k])].append(s)
 
     def seek(self, seq: int) -> None:
-        self.seq, self.offset = max(-1, min(seq, max(self.entries, default=-1))), 0
+        self.seq, self.offset = max(-1, min(seq, max(self.form, default=-1))), 0
 
     def _read(self, seq: int, offset: int, wanted: str) -> tuple[list[int], int, int, int] | None:
         """Entries used, end of the content in the last, and the place to go on from, if ``wanted`` is read from here on."""
@@ -189,25 +272,52 @@ class Cursor:
             else:
                 return None
 
-    def _candidates(self, wanted: str) -> list[int]:
-        words = wanted.split(" ")
-        found = dict.fromkeys(s for k in range(min(HEAD_WORDS, len(words)), 0, -1) for s in self.by_opening.get(" ".join(words[:k]), ()))
-        return sorted(found, key=lambda s: s if self.seq < 0 else abs(s - self.seq))
+    def _shared(self, seq: int, wanted: str) -> int:
+        """With how many words, up to those of an opening, an entry begins like the text."""
+        n = 0
+        for a, b in zip(self.form[seq].split(" ", HEAD_WORDS)[:HEAD_WORDS], wanted.split(" ", HEAD_WORDS)[:HEAD_WORDS]):
+            if a != b:
+                break
+            n += 1
+        return n
+
+    def _nearest(self, wanted: str) -> int | None:
+        """The start nearest to the cursor, before the first match the first one; of two as near the one with the longer opening in common, then the earlier."""
+        starts = self.forms.starts(wanted)
+        if not len(starts) or self.seq < 0:
+            return int(starts[0]) if len(starts) else None
+        i = int(starts.searchsorted(self.seq))
+        near = [int(s) for s in starts[max(0, i - 1) : i + 1]]
+        if len(near) == 2 and near[1] - self.seq == self.seq - near[0]:
+            return min(near, key=lambda s: (-self._shared(s, wanted), s))
+        return min(near, key=lambda s: abs(s - self.seq))
+
+    def place(self, wanted: str) -> tuple[str, list[int], int, int] | None:
+        """Where a text in normal form lies: FORWARD or RELOCATED, the entries used, its beginning in the first and its end in the last of them. The cursor moves on behind it, or stays if there is no such place."""
+        if not wanted:
+            return None
+        tries = [(self.seq, self.offset), *((s, 0) for s in range(self.seq, self.seq + self.window + 1))] if self.seq >= 0 else []
+        for seq, offset in tries:
+            if (run := self._read(seq, offset, wanted)) is not None:
+                used, end, self.seq, self.offset = run
+                return "FORWARD", used, offset, end
+        if (seq := self._nearest(wanted)) is None:
+            return None
+        used, end, self.seq, self.offset = self._read(seq, 0, wanted)
+        return "RELOCATED", used, 0, end
+
+    @property
+    def partial(self) -> bool:
+        """Whether the last text placed ended inside an entry."""
+        return self.offset < len(self.form[self.seq])
 
     def match(self, chunk: str) -> Found:
         """The place of a chunk; a chunk without words, or not found, leaves the cursor where it is."""
-        wanted = normal(chunk)
-        if not wanted:
+        placed = self.place(normal(chunk))
+        if placed is None:
             return Found()
-        tries: list[tuple[str, int, int]] = []
-        if self.seq >= 0:
-            tries = [("FORWARD", self.seq, self.offset), *(("FORWARD", s, 0) for s in range(self.seq, self.seq + self.window + 1))]
-        for how, seq, offset in [*tries, *(("RELOCATED", s, 0) for s in self._candidates(wanted))]:
-            run = self._read(seq, offset, wanted)
-            if run is not None:
-                used, end, self.seq, self.offset = run
-                return Found(how, used, self.offset < len(self.form[self.seq]), self._clip(used, offset, end))
-        return Found()
+        how, used, start, end = placed
+        return Found(how, used, self.partial, self._clip(used, start, end))
 
     def _clip(self, used: list[int], start: int, end: int) -> list[tuple[int, int, str, str | None]]:
         """The entries' spans inside the chunk, counted from its first character; an opening mark before it belongs to it."""
@@ -257,50 +367,40 @@ class LockOn:
 def follow(chunks: DataFrame, entries: DataFrame, window: int = WINDOW) -> DataFrame:
     """Every session's chunks in order of ``utterance``, each placed in its book by a cursor: ``how``, ``first_seq``, ``last_seq``, ``partial``.
 
-    ``chunks``: ``session_id``, ``book_id``, ``chunk_id``, ``utterance``, ``text``; ``entries``: ``book_id``, ``seq``, ``text``. A
-    session gets the entries that one of its chunks can begin at, and as many after each as its chunks, read on from there, can
-    go through: an entry for each word of a chunk, or the window where that is more. That is all that its cursor can ever reach.
+    ``chunks``: ``session_id``, ``book_id``, ``chunk_id``, ``utterance``, ``text``; ``entries``: ``book_id``, ``seq``, ``text``. The
+    sessions of a book meet its entries in one task and share them. Those of a book with many more chunks than entries are dealt
+    over several, each with a copy, so that the copies have no more rows than the chunks. Chunks without words or book give
+    no row; chunks without session are placed nowhere. Entries of books without chunks are of no use here and best left out before.
     """
-    asked = chunks.where("book_id IS NOT NULL AND text IS NOT NULL").withColumn("form", full_form(F.col("text"))).where("form <> ''")
-    held = entries.withColumn("form", full_form(F.col("text"))).where("form <> ''")
-    wanted = asked.select("session_id", "book_id", "form").distinct()
-    forms = wanted.select("book_id", "form").distinct()
-    a = _opened(forms, ["book_id"]).withColumnsRenamed({"form": "asked", "whole": "all_asked"})
-    b = _opened(held, ["book_id", "seq"]).withColumnsRenamed({"form": "held", "whole": "all_held"})
-    # A short chunk that ends inside a word shares all words but that one, and begins the next.
-    most = F.size(F.split("asked", " "))
-    cut = (most <= HEAD_WORDS) & (F.size(F.split("opening", " ")) == most - 1)
-    fits = F.startswith("held", F.col("asked")) | F.startswith(F.concat("asked", F.lit(" ")), F.concat("held", F.lit(" ")))
-    places = _joined_at_ends(a, b, ["book_id", "opening"], F.col("all_asked") | cut).where(fits).select("book_id", F.col("asked").alias("form"), "seq").distinct()
-    starts = wanted.join(places, ["book_id", "form"]).select("session_id", "book_id", "seq").distinct()
-    # Any chunk may be read on from where the last one ended, whether or not it could begin elsewhere.
-    far = asked.groupBy("session_id", "book_id").agg(F.sum(F.greatest(F.size(F.split("form", " ")), F.lit(window))).alias("far"))
-    last = held.groupBy("book_id").agg(F.max("seq").alias("last"))
-    after = F.lead("seq").over(Window.partitionBy("session_id", "book_id").orderBy("seq"))
-    ends = F.least(F.col("seq") + F.col("far"), F.coalesce(F.col("after") - 1, F.col("last"))).cast("int")
-    reached = starts.withColumn("after", after).join(far, ["session_id", "book_id"]).join(last, "book_id").select("session_id", "book_id", F.explode(F.sequence("seq", ends)).alias("seq"))
-    given = reached.join(entries.select("book_id", "seq", "text"), ["book_id", "seq"]).select(F.col("session_id").alias("s"), F.col("book_id").alias("b"), "seq", F.col("text").alias("t"))
-
-    def run(key: tuple, said: pd.DataFrame, book: pd.DataFrame) -> pd.DataFrame:
-        cursor = Cursor({int(s): Entry(int(s), t) for s, t in zip(book["seq"], book["t"])}, window)
-        s = said.sort_values(["utterance", "chunk_id"])
-        found = [cursor.match(t) for t in s["text"]]
-        return pd.DataFrame(
-            {
-                "chunk_id": s["chunk_id"],
-                "how": [f.how for f in found],
-                "first_seq": pd.array([f.seqs[0] if f.seqs else None for f in found], dtype="Int32"),
-                "last_seq": pd.array([f.seqs[-1] if f.seqs else None for f in found], dtype="Int32"),
-                "partial": [f.partial for f in found],
-            }
-        )
-
-    said = asked.select("session_id", "book_id", "chunk_id", "utterance", "text")
-    return (
-        said.groupBy("session_id", "book_id")
-        .cogroup(given.groupBy("s", "b"))
-        .applyInPandas(run, "chunk_id bigint, how string, first_seq int, last_seq int, partial boolean")
-    )
+    asked = chunks.where("book_id IS NOT NULL AND text IS NOT NULL")
+    entries = entries.where("seq IS NOT NULL AND text IS NOT NULL")
+    # Few books: each has at least twice BOOK_CHUNKS chunks of its own.
+    often = asked.groupBy("book_id").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= 2 * BOOK_CHUNKS)
+    long = entries.join(F.broadcast(often), "book_id", "left_semi").groupBy("book_id").agg(F.count("*").alias("entries"))
+    parts = F.floor(F.col("chunks") / F.greatest("entries", F.lit(BOOK_CHUNKS))).cast("int")
+    dealt = F.broadcast(often.join(long, "book_id").select("book_id", parts.alias("parts")).where("parts > 1"))
+    count = F.coalesce("parts", F.lit(1))
+
+    def key(part: Column) -> Column:
+        return F.concat(F.col("book_id").cast("string"), F.lit("\0"), part.cast("string")).alias("key")
+
+    said = asked.join(dealt, "book_id", "left").select(key(F.pmod(F.xxhash64("session_id"), count)), "session_id", "utterance", "chunk_id", full_form(F.col("text")).alias("form"))
+    given = entries.join(dealt, "book_id", "left").select(F.explode(F.sequence(F.lit(0), count - 1)).alias("part"), "book_id", "seq", full_form(F.col("text")).alias("form")).select(key(F.col("part")), "seq", "form")
+
+    def run(said: pa.Table, book: pa.Table) -> pa.Table:
+        forms = Forms(dict(zip(book["seq"].to_pylist(), book["form"].to_pylist())))
+        said = said.sort_by([("session_id", "ascending"), ("utterance", "ascending"), ("chunk_id", "ascending")])
+        cursor, session, rows = None, None, []
+        for reader, chunk, form in zip(*(said[c].to_pylist() for c in ("session_id", "chunk_id", "form"))):
+            if cursor is None or reader != session:
+                cursor, session = Cursor({}, window, forms), reader
+            if form:
+                placed = cursor.place(form) if reader is not None else None
+                rows.append((chunk, "NONE", None, None, False) if placed is None else (chunk, placed[0], placed[1][0], placed[1][-1], cursor.partial))
+        kinds = {"chunk_id": pa.int64(), "how": pa.string(), "first_seq": pa.int32(), "last_seq": pa.int32(), "partial": pa.bool_()}
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 5, kinds.values())], list(kinds))
+
+    return said.groupBy("key").cogroup(given.groupBy("key")).applyInArrow(run, "chunk_id bigint, how string, first_seq int, last_seq int, partial boolean")
 
 
 def lock_points(hits: DataFrame, order: str = "utterance", after: int = LOCK_AFTER) -> DataFrame:

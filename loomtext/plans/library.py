@@ -80,7 +80,9 @@ def relocate_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def match_cursor(spark: SparkSession, folder: str) -> DataFrame:
     """Every chunk placed by its session's cursor."""
     chunks = table(spark, folder, "host_trace").select("session_id", "book_id", "chunk_id", "utterance", "text")
-    return M.follow(chunks, _paragraphs(spark, folder).select("book_id", "seq", "text"))
+    read = chunks.where("text IS NOT NULL").select("book_id").distinct()
+    held = paragraphs(table(spark, folder, "entries").join(read, "book_id", "left_semi"))
+    return M.follow(chunks, held.select("book_id", "seq", "text"))
 
 
 _HITS = f"""{S.PARAGRAPHS}, held AS (SELECT book_id, seq, {S.full_form('text')} AS form FROM para),

@@ -98,3 +98,47 @@ def test_session_hits_name_only_books_to_lock_on(spark):
     for s in {c[0] for c in chunks}:
         assert locked(s, lambda f: hits.get((s, f), [])) == locked(s, every.get)
     assert max(map(len, every.values())) > 40 and max(map(len, hits.values())) < 15
+
+
+def shuffled(df):
+    """The rows that each shuffle of the plan that ran has written."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            out += [node.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else []
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_cursors_share_the_entries_of_their_book(spark, tmp_path):
+    entries = [(i, "b", 1, i, f"The {w} of it {i}.") for i, w in enumerate(["end", "rest", "whole"] * 100)] + [(900, "unread", 1, 0, "The end.")]
+    said = [(s * 10 + k, f"s{s}", "b", k, t) for s in range(60) for k, t in enumerate(["The end of it", f"The whole of it {s * 3 + 2}.", "The"])]
+    put(spark, tmp_path, entries=(entries, "entry_id bigint, book_id string, chapter int, seq int, text string"), host_trace=(said, "chunk_id bigint, session_id string, book_id string, utterance int, text string"))
+    df = CATALOG.queries["match_cursor"](spark, str(tmp_path))
+    got = {r.chunk_id: (r.how, r.first_seq) for r in df.collect()}
+    assert len(got) == 180 and got[200] == ("RELOCATED", 0) and got[201] == ("RELOCATED", 62) and got[202] == ("FORWARD", 62)
+    assert max(shuffled(df)) <= len(entries)
+
+
+def test_sessions_of_a_book_that_many_read_are_dealt_over_tasks(spark, monkeypatch):
+    from loomtext.operators import matching as M
+
+    monkeypatch.setattr(M, "BOOK_CHUNKS", 20)
+    texts = ["Well,", "It was late.", "He left, then.", "Well,", "It was late and dark.", "No."]
+    said = [(s * 10 + k, f"s{s}", "b", k, texts[(s + k * (1 + s % 3)) % 6]) for s in range(40) for k in range(5)] + [(900, None, "b", 0, "No."), (901, "s1", "none", 0, "No."), (902, "s1", "b", 9, "...")]
+    df = M.follow(spark.createDataFrame(said, "chunk_id bigint, session_id string, book_id string, utterance int, text string"), spark.createDataFrame([("b", i, t) for i, t in enumerate(texts)], "book_id string, seq int, text string"))
+    got = {r.chunk_id: (r.how, r.first_seq, r.last_seq, r.partial) for r in df.collect()}
+    want = {900: ("NONE", None, None, False), 901: ("NONE", None, None, False)}
+    for s in range(40):
+        cursor = M.Cursor({i: M.Entry(i, t) for i, t in enumerate(texts)})
+        for c in said[s * 5 : s * 5 + 5]:
+            f = cursor.match(c[4])
+            want[c[0]] = (f.how, f.seqs[0] if f.seqs else None, f.seqs[-1] if f.seqs else None, f.partial)
+    assert got == want
+    assert 6 * 10 in shuffled(df)

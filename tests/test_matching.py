@@ -23,6 +23,32 @@ def test_forward_and_relocated():
     assert (f.how, f.seqs, c.seq) == ("RELOCATED", [7], 7)
 
 
+def test_search_tries_no_entry_in_vain():
+    c = cursor([f"The {w} of it." for w in ["end", "rest", "whole"] * 500] + ["The end of it.", "The moon."])
+    read, tried = c._read, []
+    c._read = lambda *a: tried.append(a) or read(*a)
+    assert c.match("The sun.").how == "NONE" and not tried
+    assert c.match("The end of it. The moon.").seqs == [1500, 1501] and len(tried) == 1
+    assert c.match("The whole of it. The end").seqs == [1499, 1500]
+
+
+def test_nearest_start_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["a", "ab", "b", "a'"]) for _ in range(rng.randint(0, 8))) for _ in range(30)]
+        c = cursor(texts)
+        for _ in range(20):
+            i = rng.randrange(30)
+            wanted = " ".join(" ".join(texts[i : i + rng.randint(1, 3)])[: rng.randint(1, 30)].split())
+            shared = lambda s: next((k for k, (x, y) in enumerate(zip([*texts[s].split()[:6], 0], [*wanted.split()[:6], 1])) if x != y))
+            starts = [s for s in range(30) if wanted and shared(s) and c._read(s, 0, wanted)]
+            want = min(starts, key=lambda s: (abs(s - c.seq) if c.seq >= 0 else s, -shared(s), s), default=None)
+            before = c.seq, c.offset
+            f = c.match(wanted)
+            if f.how != "FORWARD":
+                assert (f.seqs[0] if f.seqs else None) == want, (texts, wanted, before)
+
+
 def test_several_entries_and_clauses():
     c = cursor()
     c.seek(0)
